@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from veinstone.session import cut
 
 BITS = 60
-#: Vectors of the bounded sample on which centre and cells are fitted; every row is indexed all the same.
+#: About so many vectors make the sample on which centre and cells are fitted; every row is indexed all the same.
 SAMPLE = 20_000
 #: Cosine that the int8 form may lose; pairs this far below the wanted least similarity are still verified exactly.
 SLACK = 0.006
@@ -164,7 +164,7 @@ def block_pairs(ids: np.ndarray, q: np.ndarray, keep: int, least: float) -> tupl
 
 def nearest(
     df: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float | None = None, recall: float = 0.99,
-    leaf: int = 1024, trees: int | None = None, seed: int = 7,
+    leaf: int = 4096, trees: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """(id, other, cosine, place): the k most similar others of each usable vector, place 1 being the most similar.
 
@@ -188,8 +188,10 @@ def nearest(
     n = heads.count()
     if trees is None:
         trees = trees_needed(n, leaf, least if least is not None else 0.9, recall)
-    sampled = heads.select("q").orderBy(F.xxhash64("q")).limit(SAMPLE).toPandas()["q"] if n else []
-    forest = Forest(unit(np.array([np.frombuffer(x, np.int8) for x in sampled], np.float32)) if len(sampled) else np.zeros((0, dim), np.float32), n, trees, 8 * leaf, seed)
+    # About SAMPLE vectors, chosen by a hash of their values: the same at every run, and none is favoured.
+    share = min(1 << 30, math.ceil((1 << 30) * SAMPLE / max(1, n)))
+    sampled = heads.where(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < share).select("q").toPandas()["q"] if n else []
+    forest = Forest(unit(np.array([np.frombuffer(x, np.int8) for x in sampled], np.float32)) if len(sampled) else np.zeros((0, dim), np.float32), n, trees, 4 * leaf, seed)
     shared = spark.sparkContext.broadcast(forest)  # trees x BITS x dim floats and the cells: fixed by parameters
     keep, floor = (k + 1) * 2, -1.0 if least is None else least - SLACK
 
@@ -235,7 +237,7 @@ def nearest(
                     yield from work(False)
         yield from work(True)
 
-    tasks = max(8, min(4096, math.ceil(n * trees / (16 * leaf))))
+    tasks = max(8, min(4096, math.ceil(n * trees / (4 * leaf))))
     strings = heads.select("id", "q").mapInArrow(emit, "part long, h long, id long, q binary")
     met = strings.repartition(tasks, "part").sortWithinPartitions("part", "h").mapInArrow(search, "id long, other long")
     pairs = cut(met.distinct(), "pairs")
