@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import neighbours, tokens
+from veinstone.llm import lookalikes, neighbours, residue, tokens
 from veinstone.sources.tables import table
 
 DIM = 96
@@ -20,13 +20,39 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.close_pairs(near, 0.9, "chunk_id_a", "chunk_id_b")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors of one file and generation, and revisions of one chunk, that read the same and differ in characters."""
+    anchors = table(spark, sf, "kb_anchor_registry", "id", "file_node_id", "parse_generation", "anchor_name")
+    revisions = table(spark, sf, "kb_chunk_revision", "id", "chunk_id", "content")
+    model = lookalikes.train(anchors.select("anchor_name").union(revisions.select("content")))
+    names = lookalikes.equal_looking(anchors, "id", "anchor_name", ["file_node_id", "parse_generation"], model)
+    contents = lookalikes.equal_looking(revisions, "id", "content", ["chunk_id"], model)
+    return names.select(F.lit("anchor_name").alias("field"), "*").union(contents.select(F.lit("content").alias("field"), "*"))
+
+
+def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The one form of each anchor name."""
+    return lookalikes.one_form(table(spark, sf, "kb_anchor_registry", "id", "anchor_name").distinct(), "anchor_name")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of each document."""
     return tokens.encode_corpus(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are residue, wholly or in part."""
+    return residue.find_residue(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without residue, by source: how many, and how many characters."""
+    kept = residue.without_residue(table(spark, sf, "documents", "doc_id", "text", "source"), "doc_id", "text")
+    return kept.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_forms, p7_ids, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
