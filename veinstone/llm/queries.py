@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import lookalikes, neighbours, residue, tokens
+from veinstone.llm import lookalikes, neighbours, residue, scans, tokens
 from veinstone.sources.tables import table
 
 DIM = 96
@@ -20,6 +20,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.close_pairs(near, 0.9, "chunk_id_a", "chunk_id_b")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Revisions whose content holds noise of scanned pages."""
+    cases, _ = scans.find_noise(table(spark, sf, "kb_chunk_revision", "id", "chunk_id", "content"), "id", "chunk_id", "content")
+    return cases.select("id").distinct()
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Each revision's content as continuous paragraphs, with the noise put right."""
+    return scans.repair(table(spark, sf, "kb_chunk_revision", "id", "chunk_id", "content"), "id", "chunk_id", "content")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of one file and generation, and revisions of one chunk, that read the same and differ in characters."""
     anchors = table(spark, sf, "kb_anchor_registry", "id", "file_node_id", "parse_generation", "anchor_name")
@@ -52,7 +63,7 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_forms, p7_ids, p9_found, p9_kept)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_repaired, p4_found, p4_forms, p7_ids, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
