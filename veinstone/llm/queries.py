@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import lookalikes, neighbours, residue, scans, tokens
+from veinstone.llm import lookalikes, mixing, neighbours, residue, scans, splitting, tokens
+from veinstone.session import cut
 from veinstone.sources.tables import table
 
 DIM = 96
@@ -46,11 +47,42 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.one_form(table(spark, sf, "kb_anchor_registry", "id", "anchor_name").distinct(), "anchor_name")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that must be cut."""
+    return p6_pieces(spark, sf).where("piece_no = 2").select("source_table", "id")
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of all revisions over 2,000 and section paths over 300 code points."""
+    texts = splitting.split_texts(table(spark, sf, "kb_chunk_revision", "id", "content"), "id", "content", 2000, 100)
+    paths = splitting.split_paths(table(spark, sf, "kb_section", "id", "section_path"), "id", "section_path", 300, 100)
+    columns = ["id", "piece_no", "pieces", "piece"]
+    return texts.select(F.lit("kb_chunk_revision").alias("source_table"), *columns).union(paths.select(F.lit("kb_section").alias("source_table"), *columns))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of each document."""
     return tokens.encode_corpus(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, sf: str):
+    counted = cut(tokens.count_tokens(table(spark, sf, "documents", "doc_id", "source", "text"), "text", "tokens"), "tokens")
+    sources = mixing.read_sources(counted, "source", "tokens", table(spark, sf, "mix_targets"))
+    mixing.plan(sources)
+    return mixing.mix(counted, "doc_id", "source", "tokens", sources), sources
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    mixed, _ = _mix(spark, sf)
+    return mixed.select("doc_id", "source", "tokens", "copies")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.report(*_mix(spark, sf))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are residue, wholly or in part."""
     return residue.find_residue(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
@@ -63,8 +95,14 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_repaired, p4_found, p4_forms, p7_ids, p9_found, p9_kept)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p8_mix, p8_report, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": """
+            SELECT DISTINCT 'kb_chunk_revision' AS source_table, id FROM kb_chunk_revision WHERE length(content) > 2000
+            UNION ALL
+            SELECT DISTINCT 'kb_section', id FROM kb_section WHERE length(array_to_string(list_filter(section_path, lambda x: x IS NOT NULL), ' > ')) > 300
+        """,
+    }
