@@ -44,5 +44,5 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: str, row_key: str, s
     ``right`` has one row per key and is repeated ``salts`` times. Rows whose key is null match nothing and are
     spread by ``row_key`` as well.
     """
-    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("int"))
+    many = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return salted(left, F.col(row_key), salts).join(many, [on, "_salt"], "left").drop("_salt")
