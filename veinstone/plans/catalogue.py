@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("trees", "references")
+MODULES = ("lexical", "trees", "references")
 
 
 def _modules():
