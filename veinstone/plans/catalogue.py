@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexical", "trees", "references")
+MODULES = ("lexical", "governance", "trees", "references")
 
 
 def _modules():
