@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexical", "governance", "similarity", "trees", "references")
+MODULES = ("lexical", "governance", "similarity", "structure", "trees", "references")
 
 
 def _modules():
