@@ -27,7 +27,7 @@ from veinstone.session import cut
 
 # Letters of other scripts that look like Latin letters.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеорсухѕіјһԁԛԝӏ", "ABESIJKMHOPCTYXYQWaeopcyxsijhdqwl"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονραιυχκϲϳ", "ABEZHIKMNOPTYXCJovpaiuxkcj"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿονραιυχκϳ", "ABEZHIKMNOPTYXJovpaiuxkj"))
 ARMENIAN = dict(zip("ՕՏՍօսհցզո", "OSUouhgqn"))
 LATIN = dict(zip("ɑɡ", "ag"))
 # CJK radicals and the ideographs they look like, where the compatibility form doesn't join them.
@@ -101,26 +101,30 @@ class Model:
             if s and s == script_of(b):
                 self.pairs[s][a, b] = self.pairs[s].get((a, b), 0) + n
                 self.singles[s][a] = self.singles[s].get(a, 0) + n
-        self.total = sum(sum(x.values()) for x in self.singles.values()) + 1
-        self.share = {s: math.log((sum(self.singles[s].values()) + (1 if s == "latin" else 0.1)) / self.total) for s in SCRIPTS}
+        self.sums = {s: sum(x.values()) for s, x in self.singles.items()}
+        total = sum(self.sums.values()) + 1
+        #: Log share of each script in all letters; it counts at every letter, so that a script without data never gains by it.
+        self.share = {s: math.log((n + (1 if s == "latin" else 0.1)) / total) for s, n in self.sums.items()}
         self.cache: dict[str, str] = {}
 
+    def single(self, c: str, script: str) -> float:
+        return (self.singles[script].get(c, 0) + 0.5) / (self.sums[script] + 50)
+
     def first(self, c: str, script: str) -> float:
-        n = self.singles[script]
-        return self.share[script] + math.log((n.get(c, 0) + 0.5) / (sum(n.values()) + 50))
+        return self.share[script] + math.log(self.single(c, script))
 
     def next(self, a: str, b: str, script: str) -> float:
-        return math.log((self.pairs[script].get((a, b), 0) + 0.1) / (self.singles[script].get(a, 0) + 10))
+        n = self.singles[script].get(a, 0)
+        back = 10 + 0.1 * n  # weight of the single letter where the pair is rare
+        return self.share[script] + math.log((self.pairs[script].get((a, b), 0) + back * self.single(b, script)) / (n + back))
 
     def latin_wins(self) -> bool:
-        """Whether a token that could be of any script always comes out Latin: plain Latin tokens then need no search."""
-        for x, by in MEMBERS.items():
-            for script, c in by.items():
-                if script != "latin" and self.first(c, script) >= self.first(x, "latin"):
+        """Whether Latin is the better way at each letter and pair, so that plain Latin tokens come out as they are."""
+        for script in SCRIPTS[1:]:
+            both = [(x, by[script]) for x, by in MEMBERS.items() if script in by]
+            for x, c in both:
+                if self.first(c, script) >= self.first(x, "latin") or any(self.next(c, d, script) >= self.next(x, y, "latin") for y, d in both):
                     return False
-        for (s, pairs) in self.pairs.items():
-            if s != "latin" and any(a in _FOREIGN and b in _FOREIGN and self.next(a, b, s) + self.share[s] > self.next(_FOREIGN[a], _FOREIGN[b], "latin") + self.share["latin"] for a, b in pairs):
-                return False
         return True
 
     def resolve(self, token: str) -> str:

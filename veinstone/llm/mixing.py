@@ -139,4 +139,4 @@ def report(mixed: DataFrame, sources: list[Source]) -> DataFrame:
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies"))
     joined = F.broadcast(asked).join(used, "source", "left").fillna(0, ["used_tokens", "used_documents", "most_copies"])
     everything = Window.partitionBy()
-    return joined.withColumn("actual_share", F.round(F.col("used_tokens") / F.sum("used_tokens").over(everything), 6))
+    return joined.withColumn("actual_share", F.round(F.coalesce(F.try_divide("used_tokens", F.sum("used_tokens").over(everything)), F.lit(0.0)), 6))
