@@ -74,12 +74,16 @@ def quantise(x: np.ndarray) -> np.ndarray:
 class Forest:
     """Hyperplanes of all trees and the cells of each tree, fitted on a sample of unit vectors."""
 
-    def __init__(self, sample: np.ndarray, n: int, trees: int, cell: int, seed: int):
+    def __init__(self, sample: np.ndarray, n: int, trees: int, cell: int, seed: int, adapt: float = 0.0):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.trees = trees
         self.centre = sample.mean(axis=0) if len(sample) else np.zeros(dim, np.float32)
         self.planes = rng.standard_normal((trees, BITS, dim)).astype(np.float32)
+        if adapt and len(sample) > dim:
+            # Normals drawn along the directions in which the sample varies: near vectors part later, others sooner.
+            w, v = np.linalg.eigh(np.cov((sample - self.centre).T))
+            self.planes = (self.planes @ (v * np.maximum(w, 1e-12) ** adapt).T).astype(np.float32)
         self.planes /= np.linalg.norm(self.planes, axis=2, keepdims=True)
         self.offset = self.planes @ self.centre
         per = max(1, round(len(sample) * cell / max(1, n)))
@@ -133,14 +137,14 @@ def leaves(h: np.ndarray, leaf: int, last: bool) -> list[tuple[int, int]]:
     return out if last else out[:-1]
 
 
-def block_pairs(ids: np.ndarray, q: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(id, candidate) of a block of int8 vectors: the ``keep`` best of each row that reach ``least``."""
+def block_pairs(ids: np.ndarray, q: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, candidate, cosine) of a block of int8 vectors: the ``keep`` best of each row that reach ``least``."""
     n = len(ids)
     if n < 2:
-        return ids[:0], ids[:0]
+        return ids[:0], ids[:0], np.zeros(0, np.float32)
     x = q.astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    froms, tos = [], []
+    froms, tos, scores = [], [], []
     for a in range(0, n, 1024):
         s = x[a : a + 1024] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
@@ -150,6 +154,7 @@ def block_pairs(ids: np.ndarray, q: np.ndarray, keep: int, least: float) -> tupl
             light = ~many[r]
             froms.append(r[light] + a)
             tos.append(c[light])
+            scores.append(s[r[light], c[light]])
             rest = np.flatnonzero(many)
         else:
             rest = np.arange(len(s))
@@ -158,18 +163,20 @@ def block_pairs(ids: np.ndarray, q: np.ndarray, keep: int, least: float) -> tupl
             best = np.argpartition(s[rest], n - k, axis=1)[:, n - k :]
             froms.append(np.repeat(rest + a, k))
             tos.append(best.ravel())
+            scores.append(np.take_along_axis(s[rest], best, axis=1).ravel())
     f, t = np.concatenate(froms), np.concatenate(tos)
-    return ids[f], ids[t]
+    return ids[f], ids[t], np.concatenate(scores)
 
 
 def nearest(
     df: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float | None = None, recall: float = 0.99,
-    leaf: int = 4096, trees: int | None = None, seed: int = 7,
+    leaf: int = 4096, trees: int | None = None, adapt: float = 0.0, seed: int = 7,
 ) -> DataFrame:
     """(id, other, cosine, place): the k most similar others of each usable vector, place 1 being the most similar.
 
     least: only neighbours of at least that cosine are wanted; the number of trees is then chosen for pairs at that
-    cosine. Otherwise ``trees`` and ``leaf`` say how far the search goes.
+    cosine. Otherwise ``trees`` and ``leaf`` say how far the search goes, and ``adapt`` how much hyperplanes follow the
+    directions in which the vectors vary (0: not at all).
     """
     spark = df.sparkSession
     raw = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) = %d" % dim)
@@ -191,9 +198,10 @@ def nearest(
     # About SAMPLE vectors, chosen by a hash of their values: the same at every run, and none is favoured.
     share = min(1 << 30, math.ceil((1 << 30) * SAMPLE / max(1, n)))
     sampled = heads.where(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < share).select("q").toPandas()["q"] if n else []
-    forest = Forest(unit(np.array([np.frombuffer(x, np.int8) for x in sampled], np.float32)) if len(sampled) else np.zeros((0, dim), np.float32), n, trees, 4 * leaf, seed)
+    forest = Forest(unit(np.array([np.frombuffer(x, np.int8) for x in sampled], np.float32)) if len(sampled) else np.zeros((0, dim), np.float32), n, trees, 4 * leaf, seed, adapt)
     shared = spark.sparkContext.broadcast(forest)  # trees x BITS x dim floats and the cells: fixed by parameters
-    keep, floor = (k + 1) * 2, -1.0 if least is None else least - SLACK
+    # A few more than k, as the int8 form may change the order of near ones.
+    keep, floor = (2 * (k + 1) if least is not None else k + 4), -1.0 if least is None else least - SLACK
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -214,9 +222,9 @@ def nearest(
             blocks = leaves(h, leaf, last)
             # A long run of equal strings is worked off too, so that what is held stays bounded.
             for a, b in blocks:
-                f, t = block_pairs(ids[a:b], q[a:b], keep, floor)
+                f, t, s = block_pairs(ids[a:b], q[a:b], keep, floor)
                 if len(f):
-                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(t)], ["id", "other"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(t), pa.array(s)], ["id", "other", "near"])
             done = blocks[-1][1] if blocks else 0
             h, ids, q = h[done:], ids[done:], q[done:]
 
@@ -239,8 +247,11 @@ def nearest(
 
     tasks = max(8, min(4096, math.ceil(n * trees / (4 * leaf))))
     strings = heads.select("id", "q").mapInArrow(emit, "part long, h long, id long, q binary")
-    met = strings.repartition(tasks, "part").sortWithinPartitions("part", "h").mapInArrow(search, "id long, other long")
-    pairs = cut(met.distinct(), "pairs")
+    met = strings.repartition(tasks, "part").sortWithinPartitions("part", "h").mapInArrow(search, "id long, other long, near float")
+    # One shuffle by id: what the trees found is joined and cut to the nearest of each vector.
+    joined = met.repartition("id").groupBy("id", "other").agg(F.max("near").alias("near"))
+    nearest_first = Window.partitionBy("id").orderBy(F.desc("near"), "other")
+    pairs = cut(joined.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= keep).select("id", "other"), "pairs")
     scored = _exact(raw, pairs, dim)
     if least is not None:
         scored = scored.where(F.col("cosine") >= least)

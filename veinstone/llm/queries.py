@@ -21,6 +21,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.close_pairs(near, 0.9, "chunk_id_a", "chunk_id_b")
 
 
+def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 nearest others of every usable vector, whatever their cosine: (chunk_id, neighbour_id, cosine, place)."""
+    vectors = table(spark, sf, "knowledge_chunks_v1", "chunk_id", "embedding_vector")
+    near = neighbours.nearest(vectors, "chunk_id", "embedding_vector", DIM, k=10, trees=14, leaf=8192, adapt=1.0)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "place")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Revisions whose content holds noise of scanned pages."""
     cases, _ = scans.find_noise(table(spark, sf, "kb_chunk_revision", "id", "chunk_id", "content"), "id", "chunk_id", "content")
@@ -95,7 +102,7 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p8_mix, p8_report, p9_found, p9_kept)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p8_mix, p8_report, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
