@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexical", "governance", "similarity", "structure", "graphs", "feeds", "evidence", "trees", "references")
+MODULES = ("lexical", "governance", "similarity", "structure", "graphs", "feeds", "evidence", "understanding", "trees", "references")
 
 
 def _modules():
