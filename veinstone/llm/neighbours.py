@@ -248,8 +248,9 @@ def nearest(
     tasks = max(8, min(4096, math.ceil(n * trees / (4 * leaf))))
     strings = heads.select("id", "q").mapInArrow(emit, "part long, h long, id long, q binary")
     met = strings.repartition(tasks, "part").sortWithinPartitions("part", "h").mapInArrow(search, "id long, other long, near float")
-    # One shuffle by id: what the trees found is joined and cut to the nearest of each vector.
-    joined = met.repartition("id").groupBy("id", "other").agg(F.max("near").alias("near"))
+    # What the trees found is joined and cut to the nearest of each vector. With a least cosine there are few pairs, most
+    # of them found several times, and they are combined before the shuffle; else all goes by id in one shuffle.
+    joined = (met if least is not None else met.repartition("id")).groupBy("id", "other").agg(F.max("near").alias("near"))
     nearest_first = Window.partitionBy("id").orderBy(F.desc("near"), "other")
     pairs = cut(joined.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= keep).select("id", "other"), "pairs")
     scored = _exact(raw, pairs, dim)
@@ -261,7 +262,8 @@ def nearest(
 def _exact(raw: DataFrame, pairs: DataFrame, dim: int) -> DataFrame:
     """pairs with the exact cosine. Each unordered pair is computed once, so that it is the same both ways."""
     once = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    wanted = once.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Written first, so that Spark knows its size: where few vectors are wanted the others aren't shuffled.
+    wanted = cut(once.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     vectors = cut(raw.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "exact")
 
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
