@@ -22,7 +22,8 @@ def minhash(shingles: Column, seeds: int = SEEDS) -> Column:
 
 
 def bands(signature: Column, n: int = BANDS, rows: int = SEEDS // BANDS) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, rows)))
+    """One key a band. Written out, not as a lambda, in which the signature would be computed anew for each band."""
+    return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, b * rows + 1, rows)) for b in range(n)])
 
 
 def ratio(a: str, b: str) -> float:
@@ -30,6 +31,16 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def ratio_from(least: float):
+    """The ratio where it may reach ``least`` by its upper bounds, which cost little; else 0."""
+
+    def measure(a: str, b: str) -> float:
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+    return measure
+
+
 def overlap(a: str, b: str) -> float:
     """Longest common substring by the shorter length; containment is 1."""
     if not a or not b:
@@ -69,12 +80,12 @@ def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: f
     the greater of Jaccard and block ratio. Only pairs that share a band of the signature are compared, and each once.
     """
     rows = df.select(*by, F.col(label).alias("l")).distinct().where((F.length("l") >= 2) & (T.entropy(F.col("l")) >= 1.2)).withColumn("s", T.shingles(F.col("l")))
-    keyed = rows.withColumn("band", F.explode(bands(minhash(F.col("s")))))
+    keyed = rows.withColumn("sig", minhash(F.col("s"))).withColumn("band", F.explode(bands(F.col("sig")))).drop("sig")
     a = keyed.select(*by, "band", F.col("l").alias("a"), F.col("s").alias("sa"))
     b = keyed.select(*by, "band", F.col("l").alias("b"), F.col("s").alias("sb"))
     pairs = a.join(b, [*by, "band"]).where("a < b").dropDuplicates([*by, "a", "b"])
     contained = (F.least(F.length("a"), F.length("b")) >= 4) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(F.col("sa"), F.col("sb")), ratios(F.col("a"), F.col("b"))))
+    sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(F.col("sa"), F.col("sb")), _pairwise(ratio_from(threshold - 1e-6), F.col("a"), F.col("b"))))
     return pairs.select(*by, "a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
