@@ -41,3 +41,12 @@ def test_frames(spark):
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 1, 5]
     assert sorted(r["doc_id"] or 0 for r in R.without_residue(df, "doc_id", "text").collect()) == [0, 2, 3, 4]
     assert R.find_residue(df.where("doc_id < 0"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "t, kind",
+    [(x, "error") for x in ("This page does not exist.", "The page is not available.", "The file has been deleted.", "404 Gone", "访问被拒绝", "该文件未找到")]
+    + [(x, "filler") for x in ("Your paragraph goes here.", "test test test", "Sample paragraph, replace before release.")] + [("请启用JS", "script")],
+)
+def test_short_texts_of_residue_alone(t, kind):
+    assert R.kinds_of(t) == ({kind}, 1.0)
