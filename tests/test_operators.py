@@ -143,3 +143,22 @@ def test_clashing_column_names_do_no_harm(spark, name):
     df = spark.createDataFrame([(1, "a b", "z"), (2, None, "z")], f"doc long, body string, `{name}` string")
     assert ranking.document_frequency(df, "doc", F.col("body")).count() == 2
     assert C.per_text(df, "doc", "body", "size int", lambda t: [(len(t),)]).collect()[0]["size"] == 3
+
+
+def test_labels_dont_depend_on_the_size_of_a_component(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(c, f"n{rng.randrange(25):02d}", f"n{rng.randrange(25):02d}", rng.choice([0.01, 0.5, 1.0])) for c in (1, 2) for _ in range(40)]
+    df = spark.createDataFrame(rows, "file int, src string, dst string, weight double")
+    labels = lambda bound: sorted(tuple(r) for r in G.communities_in_components(df, "file", bound=bound).collect())
+    assert labels(0) == labels(1_000)
+
+
+def test_label_propagation_covers_the_largest_file(spark, sf):
+    from veinstone.plans import graphs
+
+    s = spark.read.parquet(f"{sf}/kb_section.parquet")
+    linked = s.join(s.select(F.col("section_id").alias("parent_section_id")).distinct(), "parent_section_id", "left_semi").where("file_node_id = 880001").select("section_id").distinct()
+    assert linked.count() > 0
+    assert linked.join(graphs.label_propagation(spark, sf), F.col("section_id") == F.col("node"), "left_anti").count() == 0

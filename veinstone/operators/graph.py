@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veinstone.session import cut
+from veinstone.session import cut, salted_left_join
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -91,9 +91,9 @@ def propagate(edges: dict[str, dict[str, float]], rounds: int = 20, floor: float
 
 
 def communities_in_components(edges: DataFrame, component: str, rounds: int = 20, bound: int = 50_000) -> DataFrame:
-    """(node, label): propagation in place within each component of at most ``bound`` edges.
+    """(node, label): propagation in place within each component.
 
-    Updates in place are sequential, so they stay within one component; larger components take the synchronous form.
+    A component of at most ``bound`` edges is done in one task, the nodes one after another; larger ones by joins, with the same labels.
     """
     sized = edges.join(edges.groupBy(component).count(), component)
 
@@ -110,7 +110,32 @@ def communities_in_components(edges: DataFrame, component: str, rounds: int = 20
     small = sized.where(F.col("count") <= bound).select(component, "src", "dst", "weight")
     grouped = small.groupBy(component).applyInPandas(lambda pdf: next(run(iter([pdf]))), "node string, label string")
     large = sized.where(F.col("count") > bound)
-    return grouped.unionByName(synchronous_labels(large, rounds)) if large.limit(1).count() else grouped
+    return grouped.unionByName(in_place_labels(large, component, rounds)) if large.limit(1).count() else grouped
+
+
+def in_place_labels(edges: DataFrame, component: str, rounds: int = 20, floor: float = 0.05) -> DataFrame:
+    """(node, label): the labels that ``propagate`` gives in each component, by joins.
+
+    Within a round a node takes into account the new labels of neighbours of smaller names and the old ones of the others.
+    So new labels are computed anew from each other until none moves: each depends on smaller names only, which makes the result the only one.
+    """
+    ends = symmetric(edges.select(F.struct(component, "src").alias("src"), F.struct(component, F.col("dst").alias("src")).alias("dst"), "weight"))
+    e = cut(ends.groupBy("src", "dst").agg(F.greatest(F.lit(floor), F.sum("weight")).alias("weight")), "edges")
+    state = e.select(F.col("src").alias("node")).distinct().select("node", F.col("node.src").alias("old"), F.col("node.src").alias("new"))
+    for _ in range(rounds):
+        moved = 1
+        while moved:
+            seen = salted_left_join(e, state.withColumnRenamed("node", "dst"), "dst", "src").withColumn("label", F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("old")))
+            votes = seen.groupBy("src", "label").agg(F.sum("weight").alias("w"))
+            best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.round("w", 9), "label"))["label"].alias("best"))
+            state = cut(state.join(best, "node").select("node", "old", F.col("best").alias("new"), (F.col("best") != F.col("new")).alias("moved")), "labels")
+            moved = state.where("moved").limit(1).count()
+            state = state.drop("moved")
+        changed = state.where("old <> new").limit(1).count()
+        state = state.select("node", F.col("new").alias("old"), "new")
+        if not changed:
+            break
+    return state.select(F.col("node.src").alias("node"), F.col("new").alias("label"))
 
 
 def synchronous_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:

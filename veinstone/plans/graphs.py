@@ -104,23 +104,23 @@ def surprise_score(spark, sf):
 def _section_edges(spark, sf):
     s = table(spark, sf, "kb_section", "section_id", "file_node_id", "parent_section_id").distinct()
     ids = s.select(F.col("section_id").alias("parent_section_id")).distinct()
-    return s.join(ids, "parent_section_id", "left_semi").where("file_node_id <> 880001").select(F.col("file_node_id").alias("component"), F.col("section_id").alias("src"), F.col("parent_section_id").alias("dst"), F.lit(1.0).alias("weight"))
+    return s.join(ids, "parent_section_id", "left_semi").select(F.col("file_node_id").alias("component"), F.col("section_id").alias("src"), F.col("parent_section_id").alias("dst"), F.lit(1.0).alias("weight"))
 
 
 def label_propagation(spark, sf):
-    """Communities of sections within each file, in place."""
+    """Communities of sections within each file, the largest one too, in place."""
     return G.communities_in_components(_section_edges(spark, sf), "component")
 
 
 def community_density(spark, sf):
-    """Size and density of the communities of one synchronous round."""
-    e = _section_edges(spark, sf)
+    """Size and density of the communities of one synchronous round; as in its SQL, without file 880001."""
+    e = _section_edges(spark, sf).where("component <> 880001")
     return G.density(e, G.synchronous_labels(e, 1))
 
 
 def synchronous_round(spark, sf):
-    """Labels of sections after one synchronous round."""
-    return G.synchronous_labels(_section_edges(spark, sf), 1)
+    """Labels of sections after one synchronous round; as in its SQL, without file 880001."""
+    return G.synchronous_labels(_section_edges(spark, sf).where("component <> 880001"), 1)
 
 
 _E = """s AS (SELECT DISTINCT section_id, file_node_id, parent_section_id FROM kb_section),
