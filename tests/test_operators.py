@@ -79,6 +79,14 @@ def test_near_labels_find_close_names(spark):
     assert [(r["a"], r["b"]) for r in S.near_labels(df, ["f"]).collect()] == [("orchardcreditlime", "orchardcreditline")]
 
 
+def test_near_labels_find_all_containment(spark):
+    names = ["档案室rv7", "档案室rv7234", "xy档案室rv7", "orchard", "theorchardfee", "orchardcreditline", "abc", "abcd"]
+    df = spark.createDataFrame([(f, n) for f in (1, 2) for n in names], "f int, label string")
+    expected = {(f, *sorted((a, b))) for f in (1, 2) for a in names for b in names if a != b and a in b and len(a) >= 4 and len(b) - len(a) <= 6}
+    got = [(r["f"], r["a"], r["b"]) for r in S.near_labels(df, ["f"]).where("similarity = 0.9").collect()]
+    assert len(got) == len(set(got)) and expected <= set(got) and (1, "档案室rv7", "档案室rv7234") in expected
+
+
 def test_search_exact_against_brute_force(spark):
     import numpy as np
 

@@ -73,11 +73,12 @@ def label_groups(df: DataFrame, key: str, name: str, by: list[str]) -> DataFrame
     return labelled.groupBy(*by, "label").agg(F.min(key).alias("class_id"), F.count("*").alias("members"))
 
 
-def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: float = 0.88) -> DataFrame:
-    """(by, a, b, similarity), a < b: distinct labels of one scope that share a band and reach the threshold.
+def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: float = 0.88, longer: int = 6) -> DataFrame:
+    """(by, a, b, similarity), a < b: distinct labels of one scope that share a band, or of which one holds the other, and that reach the threshold.
 
     Classes of equal labels come in as one row each. Similarity is 0.9 for containment of four characters or more, else
-    the greater of Jaccard and block ratio. Only pairs that share a band of the signature are compared, and each once.
+    the greater of Jaccard and block ratio. Pairs that share a band of the signature are compared, each once; pairs of containment
+    with a length difference of up to ``longer`` are found exactly, as equal to what is left of the longer one without its ends.
     """
     rows = df.select(*by, F.col(label).alias("l")).distinct().where((F.length("l") >= 2) & (T.entropy(F.col("l")) >= 1.2)).withColumn("s", T.shingles(F.col("l")))
     keyed = rows.withColumn("sig", minhash(F.col("s"))).withColumn("band", F.explode(bands(F.col("sig")))).drop("sig")
@@ -86,7 +87,13 @@ def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: f
     pairs = a.join(b, [*by, "band"]).where("a < b").dropDuplicates([*by, "a", "b"])
     contained = (F.least(F.length("a"), F.length("b")) >= 4) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
     sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(F.col("sa"), F.col("sb")), _pairwise(ratio_from(threshold - 1e-6), F.col("a"), F.col("b"))))
-    return pairs.select(*by, "a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = pairs.select(*by, "a", "b", F.round(sim, 6).alias("similarity"))
+    # The parts of a label that are shorter by 1 to ``longer`` characters and have at least four.
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for d in range(1, longer + 1) for i in range(d + 1)])
+    parts = F.array_distinct(F.transform(F.filter(cuts, lambda x: F.length("l") - x["d"] >= 4), lambda x: F.substring(F.col("l"), x["i"] + 1, F.length("l") - x["d"])))
+    held = rows.select(*by, F.col("l").alias("whole"), F.explode(parts).alias("l")).join(rows.select(*by, "l"), [*by, "l"])
+    inner = held.select(*by, F.least("l", "whole").alias("a"), F.greatest("l", "whole").alias("b"), F.lit(0.9).alias("similarity"))
+    return near.unionByName(inner).where(F.col("similarity") >= threshold).dropDuplicates([*by, "a", "b"])
 
 
 def align(quote: str, text: str) -> tuple[str, int, int]:
