@@ -80,3 +80,13 @@ def test_deep_chain_takes_no_recursion():
     got = {r[0]: r for r in H.traverse(rows, paths=False)}
     assert got["n19999"][2] == 19_999 and got["n0"][4] == 19_999
     assert next(r for r in H.traverse(rows[:50]) if r[0] == "n49")[3][:2] == ["n0", "n1"]
+
+
+@pytest.mark.parametrize("ring", [1, 2, 7])
+def test_circles_dont_depend_on_the_bound(spark, ring):
+    rng = random.Random(ring)
+    pairs = [(f"m{i:02d}", f"m{(i + 1) % ring:02d}") for i in range(ring)] + [("t00", "m00"), *((f"t{i:02d}", rng.choice([f"t{rng.randrange(i):02d}", f"m{rng.randrange(ring):02d}"])) for i in range(1, 25))]
+    pairs += [("o", None), ("p", "o"), ("q", "p")]
+    small, large = (found(rows(spark, pairs), bound=b) for b in (1_000, 2))
+    assert small == large and {r["state"] for r in large.values()} == {"tree", "circle", "runs into circle"}
+    assert {i: r["state"] for i, r in found(rows(spark, pairs), bound=2, paths=False).items()} == {i: r["state"] for i, r in small.items()}

@@ -5,7 +5,7 @@ Components are found by pointer doubling: each node holds an ancestor and the di
 round, so the rounds grow with the logarithm of the depth. Components of bounded size are then co-located, a task
 going through its components one after another, by an iterative depth-first traversal with colours: white nodes are new,
 grey ones on the path, black ones done; a link to a grey node closes a circle. Components above the bound
-never meet in one task: their paths grow by the same doubling, as joins.
+never meet in one task: their circles are marked and their paths grow by the same doubling, as joins.
 
 Defined results: rows with a null id are left out; a repeated row counts once; of several different parents of an id the
 smallest existing one counts; a parent that is null, blank or no existing id makes a root with depth 0. If the way up
@@ -167,22 +167,46 @@ def _traversal(paths: bool):
     return run
 
 
-def _wide(big: DataFrame) -> DataFrame:
-    """Nodes of components above the bound, by joins alone: the path doubles in each round."""
-    state = cut(big.select("id", "root", "depth", "parent", F.array("id").alias("tail"), F.col("parent").alias("up")), "wide")
-    while state.where("up IS NOT NULL AND depth >= 0").limit(1).count():
-        ahead = state.select(F.col("id").alias("up"), F.col("tail").alias("more"), F.col("up").alias("next"))
-        state = cut(salted_left_join(state, ahead, "up", "id").select("id", "root", "depth", "parent", F.when(F.col("more").isNull() | (F.col("depth") < 0), F.col("tail")).otherwise(F.concat("tail", "more")).alias("tail"), F.when(F.col("depth") >= 0, F.col("next")).alias("up")), "wide")
-    paths = state.withColumn("path", F.when(F.col("depth") >= 0, F.reverse("tail")).otherwise(F.col("tail")))
-    below = paths.where("depth > 0").select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(1)))).alias("id")).groupBy("id").agg(F.count("*").alias("descendants"))
-    return paths.join(below, "id", "left").select("id", "root", F.col("depth").cast("int"), "path", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.when(F.col("depth") < 0, "circle or into it").otherwise("tree").alias("state"))
+def _rings(loose: DataFrame) -> DataFrame:
+    """(root, id, place) of the nodes of circles: place counts parent links from the root, which is the smallest id of the circle."""
+    ring = cut(loose.where("id = root").select("root", "id", F.lit(0).cast("long").alias("place")), "ring")
+    jumps, reach, known = loose.select("id", F.col("parent").alias("to")), 1, ring.count()
+    while known:
+        ahead = ring.join(jumps, "id").select("root", F.col("to").alias("id"), (F.col("place") + reach).alias("place"))
+        ring = cut(ring.unionByName(ahead).groupBy("root", "id").agg(F.min("place").alias("place")), "ring")
+        before, known = known, ring.count()
+        if known == before:
+            break
+        jumps = cut(salted_left_join(jumps, jumps.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "id").select("id", F.col("next").alias("to")), "jumps")
+        reach *= 2
+    return ring
+
+
+def _wide(big: DataFrame, paths: bool) -> DataFrame:
+    """Nodes of components above the bound, by joins alone: the way up to a root or a circle doubles in each round."""
+    ring = _rings(big.where("depth < 0"))
+    marked = salted_left_join(big, ring.select(F.col("id").alias("parent"), F.col("place").alias("meets")), "parent", "id").join(ring.select("id", "place"), "id", "left")
+    state = cut(marked.select("id", "root", "depth", "place", F.array("id").alias("tail"), F.coalesce("place", "meets").alias("meets"), F.when(F.col("place").isNull() & F.col("meets").isNull(), F.col("parent")).alias("up")), "wide")
+    while state.where("up IS NOT NULL").limit(1).count():
+        ahead = state.select(F.col("id").alias("up"), F.col("tail").alias("more"), F.col("up").alias("next"), F.col("meets").alias("later"))
+        joined = salted_left_join(state, ahead, "up", "id")
+        state = cut(joined.select("id", "root", "depth", "place", F.when(F.col("more").isNull(), F.col("tail")).otherwise(F.concat("tail", "more")).alias("tail"), F.coalesce("meets", "later").alias("meets"), F.col("next").alias("up")), "wide")
+    below = state.select(F.explode(F.slice("tail", 2, F.size("tail"))).alias("id")).groupBy("id").agg(F.count("*").alias("below"))
+    sizes = state.where("depth < 0").groupBy("root").agg(F.count("*").alias("n"))
+    circles = ring.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ring")) if paths else ring.select("root").distinct().withColumn("ring", F.lit(None).cast("array<string>"))
+    full = salted_left_join(state.join(below, "id", "left"), sizes.join(circles, "root"), "root", "id")
+    # Once around the circle, from where the way meets it.
+    around = F.expr("concat(slice(ring, int(meets) + 1, size(ring)), slice(ring, 1, int(meets)))")
+    path = F.when(F.col("depth") >= 0, F.reverse("tail")).when(F.col("place").isNotNull(), around).otherwise(F.concat("tail", around)) if paths else F.lit(None).cast("array<string>")
+    descendants = F.when(F.col("place").isNotNull(), F.col("n") - 1).otherwise(F.coalesce("below", F.lit(0)))
+    kind = F.when(F.col("depth") >= 0, "tree").when(F.col("place").isNotNull(), "circle").otherwise("runs into circle")
+    return full.select("id", "root", F.col("depth").cast("int"), path.alias("path"), descendants.cast("long").alias("descendants"), kind.alias("state"))
 
 
 def hierarchies(df: DataFrame, key: str, parent: str, bound: int = BOUND, paths: bool = True) -> DataFrame:
     """(id, root, depth, path from root to node, number of descendants, state) of each node.
 
-    In components above the bound that hold a circle, the path of a node is itself alone. Without ``paths`` the path is
-    null in components within the bound.
+    The results don't depend on the bound. Without ``paths`` the path is null.
     """
     found = components(links(df, key, parent))
     sizes = found.groupBy("root").count()
@@ -191,7 +215,7 @@ def hierarchies(df: DataFrame, key: str, parent: str, bound: int = BOUND, paths:
     nodes = small.select("root", "id", "parent").repartition("root").sortWithinPartitions("root", "id").mapInArrow(_traversal(paths), _NODES)
     big = found.join(large, "root", "left_semi")
     if big.limit(1).count():
-        nodes = nodes.unionByName(_wide(big))
+        nodes = nodes.unionByName(_wide(big, paths))
     return nodes
 
 
