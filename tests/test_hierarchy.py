@@ -90,3 +90,10 @@ def test_circles_dont_depend_on_the_bound(spark, ring):
     small, large = (found(rows(spark, pairs), bound=b) for b in (1_000, 2))
     assert small == large and {r["state"] for r in large.values()} == {"tree", "circle", "runs into circle"}
     assert {i: r["state"] for i, r in found(rows(spark, pairs), bound=2, paths=False).items()} == {i: r["state"] for i, r in small.items()}
+
+
+@pytest.mark.parametrize("bound", [100_000, 2])
+def test_back_edges(spark, bound):
+    """One back edge a circle, at its smallest node, whatever the bound."""
+    got = found(rows(spark, [("b", "a"), ("a", "c"), ("c", "b"), ("x", "a"), ("self", "self"), ("o", None), ("p", "o")]), bound=bound)
+    assert {i: (r["back"], r["path"]) for i, r in got.items() if r["back"] is not None} == {"a": ("c", ["a", "c", "b"]), "self": ("self", ["self"])}

@@ -26,7 +26,7 @@ from veinstone.session import cut, salted_left_join
 #: Nodes of a component that one task may hold.
 BOUND = 100_000
 
-_NODES = "id string, root string, depth int, path array<string>, descendants long, state string"
+_NODES = "id string, root string, depth int, path array<string>, descendants long, state string, back string"
 
 
 def links(df: DataFrame, key: str, parent: str) -> DataFrame:
@@ -73,9 +73,10 @@ def components(pairs: DataFrame) -> DataFrame:
     return cut(out, "components")
 
 
-def traverse(rows: list[tuple[str, str | None]], paths: bool = True) -> Iterator[tuple[str, str, int, list[str] | None, int, str]]:
-    """(id, root, depth, path, descendants, state) of one component's (id, parent) rows, by depth-first traversal.
+def traverse(rows: list[tuple[str, str | None]], paths: bool = True) -> Iterator[tuple[str, str, int, list[str] | None, int, str, str | None]]:
+    """(id, root, depth, path, descendants, state, back) of one component's (id, parent) rows, by depth-first traversal.
 
+    A link to a grey node is a back edge, which closes a circle: ``back`` is the node it comes from.
     Paths are made one after another on the way out, so that what is held grows with the nodes and not with the paths.
     """
     parent = dict(rows)
@@ -97,7 +98,7 @@ def traverse(rows: list[tuple[str, str | None]], paths: bool = True) -> Iterator
         ring = ring[first:] + ring[:first]
         roots = [ring[0]]
     place = {i: k for k, i in enumerate(ring)}
-    depth, below = {}, {}
+    depth, below, back = {}, {}, {}
     for root in roots:
         colour = {root: 1}  # white nodes are absent, grey is 1, black is 2
         depth[root] = 0
@@ -105,7 +106,9 @@ def traverse(rows: list[tuple[str, str | None]], paths: bool = True) -> Iterator
         while stack:
             node, rest = stack[-1]
             for c in rest:
-                if colour.get(c):  # a back edge: the circle closes here
+                if colour.get(c) == 1:
+                    back[c] = node
+                if colour.get(c):
                     continue
                 colour[c] = 1
                 depth[c] = depth[node] + 1
@@ -127,19 +130,19 @@ def traverse(rows: list[tuple[str, str | None]], paths: bool = True) -> Iterator
     for i in depth:
         if not ring:
             path = way_up(i)[::-1] if paths else None
-            yield i, roots[0], depth[i], path, below[i], "tree"
+            yield i, roots[0], depth[i], path, below[i], "tree", None
             continue
         path = (([i] if i in place else way_up(i)) if paths else None)
         if paths:
             k = place[i] + 1 if i in place else place[parent[path[-1]]]
             path = path + [ring[(k + d) % len(ring)] for d in range(len(ring) - (i in place))]
         # Below a node of the circle lie all others of the circle and what hangs on it.
-        yield i, ring[0], -1, path, len(rows) - 1 if i in place else below[i], "circle" if i in place else "runs into circle"
+        yield i, ring[0], -1, path, len(rows) - 1 if i in place else below[i], "circle" if i in place else "runs into circle", back.get(i)
 
 
 def _traversal(paths: bool):
-    types = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.string())
-    names = ["id", "root", "depth", "path", "descendants", "state"]
+    types = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string())
+    names = ["id", "root", "depth", "path", "descendants", "state", "back"]
 
     def emit(rows: list[tuple[str, str | None]]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -186,11 +189,11 @@ def _wide(big: DataFrame, paths: bool) -> DataFrame:
     """Nodes of components above the bound, by joins alone: the way up to a root or a circle doubles in each round."""
     ring = _rings(big.where("depth < 0"))
     marked = salted_left_join(big, ring.select(F.col("id").alias("parent"), F.col("place").alias("meets")), "parent", "id").join(ring.select("id", "place"), "id", "left")
-    state = cut(marked.select("id", "root", "depth", "place", F.array("id").alias("tail"), F.coalesce("place", "meets").alias("meets"), F.when(F.col("place").isNull() & F.col("meets").isNull(), F.col("parent")).alias("up")), "wide")
+    state = cut(marked.select("id", "root", "depth", "place", F.when(F.col("place") == 0, F.col("parent")).alias("back"), F.array("id").alias("tail"), F.coalesce("place", "meets").alias("meets"), F.when(F.col("place").isNull() & F.col("meets").isNull(), F.col("parent")).alias("up")), "wide")
     while state.where("up IS NOT NULL").limit(1).count():
         ahead = state.select(F.col("id").alias("up"), F.col("tail").alias("more"), F.col("up").alias("next"), F.col("meets").alias("later"))
         joined = salted_left_join(state, ahead, "up", "id")
-        state = cut(joined.select("id", "root", "depth", "place", F.when(F.col("more").isNull(), F.col("tail")).otherwise(F.concat("tail", "more")).alias("tail"), F.coalesce("meets", "later").alias("meets"), F.col("next").alias("up")), "wide")
+        state = cut(joined.select("id", "root", "depth", "place", "back", F.when(F.col("more").isNull(), F.col("tail")).otherwise(F.concat("tail", "more")).alias("tail"), F.coalesce("meets", "later").alias("meets"), F.col("next").alias("up")), "wide")
     below = state.select(F.explode(F.slice("tail", 2, F.size("tail"))).alias("id")).groupBy("id").agg(F.count("*").alias("below"))
     sizes = state.where("depth < 0").groupBy("root").agg(F.count("*").alias("n"))
     circles = ring.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ring")) if paths else ring.select("root").distinct().withColumn("ring", F.lit(None).cast("array<string>"))
@@ -200,12 +203,13 @@ def _wide(big: DataFrame, paths: bool) -> DataFrame:
     path = F.when(F.col("depth") >= 0, F.reverse("tail")).when(F.col("place").isNotNull(), around).otherwise(F.concat("tail", around)) if paths else F.lit(None).cast("array<string>")
     descendants = F.when(F.col("place").isNotNull(), F.col("n") - 1).otherwise(F.coalesce("below", F.lit(0)))
     kind = F.when(F.col("depth") >= 0, "tree").when(F.col("place").isNotNull(), "circle").otherwise("runs into circle")
-    return full.select("id", "root", F.col("depth").cast("int"), path.alias("path"), descendants.cast("long").alias("descendants"), kind.alias("state"))
+    return full.select("id", "root", F.col("depth").cast("int"), path.alias("path"), descendants.cast("long").alias("descendants"), kind.alias("state"), "back")
 
 
 def hierarchies(df: DataFrame, key: str, parent: str, bound: int = BOUND, paths: bool = True) -> DataFrame:
-    """(id, root, depth, path from root to node, number of descendants, state) of each node.
+    """(id, root, depth, path from root to node, number of descendants, state, back) of each node.
 
+    ``back`` is not null at the smallest node of a circle only: the link from it is the back edge, as traversal begins there.
     The results don't depend on the bound. Without ``paths`` the path is null.
     """
     found = components(links(df, key, parent))

@@ -1,87 +1,146 @@
 """References to records that do not exist: an incremental ledger of orphans.
 
-The ledger keeps two keyed tables: the index of parents and the references with their present state. A step takes what
-arrived: new references probe the index, arriving parents resolve the orphans that wait for them, deletions reopen
-references that were resolved. Only references whose key arrived or changed are looked at again. A snapshot of the
-counts can be taken after each step. All joins from references to parents are salted by the reference, as any share of
-the references may name one key; parents are one row a key.
+The ledger is a log in the shared folder. Parents and references are kept as versions, in buckets by the hash of the key
+they name, and nothing written is ever rewritten. A step takes what arrived and reads only the buckets of the keys that
+arrived: new references probe the parent index, arriving parents resolve the orphans that wait for them, deletions
+reopen what was resolved. It appends the new references with their state and a new version of each reference whose state
+changed, so what a step writes grows with what arrived and not with the ledger. Snapshots of the counts are taken
+when asked for, after any step.
+
+Of a reference the version counts that was delivered last and, of that, judged last. So a reference that comes again with
+another key is re-pointed: its old version may still be judged when its old key changes, but never counts again. Keys that many
+references name are spread by the row (``session.salted_left_join``); parents are one row a key.
 
 States: ``missing`` (no such parent), ``deleted`` (the parent is deleted), ``late`` (the parent was created after the
-reference), ``resolved``. A null reference is none. Repeated rows count once; a reference without a time is never late;
-a null deletion mark counts as not deleted; of several parents of one key the one created first counts, and it is deleted only if all are.
-Empty tables give empty results.
+reference), ``resolved``. A null reference is none; one that is re-pointed to null is no longer counted. Repeated rows count once; of several
+rows of one reference in one step the one with the latest time counts, then the greatest key, a null time being the earliest; a reference without a
+time is never late; a null deletion mark counts as not deleted; of several parents of one key in one step the one
+created first counts, and it is deleted only if all are. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.session import cut, salted_left_join
+from veinstone.session import salted_left_join, shared_dir
 
-PARENT = ["target", "key", "deleted", "created"]
-REFERENCE = ["source_table", "ref_field", "id", "target", "key", "time"]
+REFERENCE = ["source_table", "ref_field", "id"]
 ORPHANS = ("missing", "deleted", "late")
+#: Buckets of the keys. A step that brings few keys reads few of them.
+BUCKETS = 64
+
+_INDEX = "target string, key long, deleted boolean, created timestamp_ntz, step int, bucket int"
+_REFS = "source_table string, ref_field string, id long, target string, key long, time timestamp_ntz, state string, delivered int, step int, bucket int"
+_SNAPSHOT = "source_table string, ref_field string, period string, kind string, orphans long, step int"
 
 
 def references(df: DataFrame, source_table: str, ref_field: str, target: str, key: str = "id", time: str = "create_time") -> DataFrame:
-    """References of one field. ``target`` names the table of parents that the field refers to."""
-    rows = df.select(F.lit(source_table).alias("source_table"), F.lit(ref_field).alias("ref_field"), F.col(key).alias("id"), F.lit(target).alias("target"), F.col(ref_field).cast("long").alias("key"), F.col(time).alias("time"))
-    return rows.where("key IS NOT NULL").distinct()
+    """References of one field. ``target`` names the table of parents that the field refers to. Rows without an id are none."""
+    rows = df.select(F.lit(source_table).alias("source_table"), F.lit(ref_field).alias("ref_field"), F.col(key).cast("long").alias("id"), F.lit(target).alias("target"), F.col(ref_field).cast("long").alias("key"), F.col(time).cast("timestamp_ntz").alias("time"))
+    return rows.where("id IS NOT NULL").groupBy(*REFERENCE, "target").agg(F.max(F.struct("time", "key")).alias("x")).select(*REFERENCE, "target", "x.key", "x.time")
 
 
 def parents(df: DataFrame, target: str, key: str = "id", deleted: str | None = None, created: str = "create_time") -> DataFrame:
     """Parents of one table, as the ledger takes them."""
     mark = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-    rows = df.select(F.lit(target).alias("target"), F.col(key).cast("long").alias("key"), mark.alias("deleted"), F.col(created).alias("created")).where("key IS NOT NULL")
+    rows = df.select(F.lit(target).alias("target"), F.col(key).cast("long").alias("key"), mark.alias("deleted"), F.col(created).cast("timestamp_ntz").alias("created")).where("key IS NOT NULL")
     return rows.groupBy("target", "key").agg(F.min("deleted").alias("deleted"), F.min("created").alias("created"))
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("target", "key"), F.lit(BUCKETS)).cast("int")
+
+
+def _state():
+    return F.when(F.col("key").isNull(), "none").when(F.col("_there").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("created") > F.col("time"), "late").otherwise("resolved")
+
+
 def judge(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """The references with their state by the index."""
-    keyed = refs.withColumn("_k", F.struct("target", "key"))
+    """The references with ``state`` by the index, one row a (target, key)."""
+    keyed = refs.withColumn("_k", F.when(F.col("key").isNotNull(), F.struct("target", "key")))
     known = index.select(F.struct("target", "key").alias("_k"), "deleted", "created", F.lit(True).alias("_there"))
-    state = (
-        F.when(F.col("_there").isNull(), "missing").when(F.col("deleted"), "deleted")
-        .when(F.col("created") > F.col("time"), "late").otherwise("resolved")
-    )
-    return salted_left_join(keyed, known, "_k", "id").select(*REFERENCE, state.alias("state"))
+    return salted_left_join(keyed, known, "_k", "id").withColumn("state", _state()).drop("_k", "deleted", "created", "_there")
 
 
 @dataclass
 class Ledger:
-    """State after some steps. Both tables stand in the shared folder."""
+    """A ledger that stands in a folder: its index of parents, its references and its snapshots, after ``steps`` steps."""
+
+    spark: SparkSession
+    at: str
+    steps: int = 0
+    snapshots: tuple[int, ...] = ()
 
-    index: DataFrame
-    refs: DataFrame
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Ledger:
+        return cls(spark, f"{shared_dir(spark)}/veinstone/ledger-{uuid.uuid4().hex}")
 
     @classmethod
-    def start(cls, new_parents: DataFrame, new_refs: DataFrame) -> Ledger:
-        index = cut(new_parents, "parents")
-        return cls(index, cut(judge(new_refs, index), "references"))
-
-    def step(self, new_parents: DataFrame, new_refs: DataFrame) -> Ledger:
-        """Take in arrived or changed parents (their newest form) and new references."""
-        arrived = cut(new_parents, "arrived")
-        changed = arrived.select("target", "key")
-        index = cut(self.index.join(changed, ["target", "key"], "left_anti").unionByName(arrived), "parents")
-        # Waiting orphans and resolved references of the keys that changed; a hot key is split by the salt.
-        touched = salted_left_join(
-            self.refs.withColumn("_k", F.struct("target", "key")), changed.select(F.struct("target", "key").alias("_k"), F.lit(True).alias("_touched")), "_k", "id"
-        )
-        untouched = touched.where("_touched IS NULL").select(*REFERENCE, "state")
-        again = touched.where("_touched").select(*REFERENCE)
-        seen = self.refs.select("source_table", "ref_field", "id")
-        fresh = new_refs.join(seen, ["source_table", "ref_field", "id"], "left_anti").select(*REFERENCE)
-        return Ledger(index, cut(untouched.unionByName(judge(again.unionByName(fresh), index)), "references"))
+    def start(cls, new_parents: DataFrame, new_refs: DataFrame, snapshot: bool = False) -> Ledger:
+        return cls.empty(new_parents.sparkSession).step(new_parents, new_refs, snapshot)
+
+    def _read(self, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        """All versions, or those of some buckets: other buckets aren't opened."""
+        if not self.steps:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.at}/{name}").where(F.col("step") <= self.steps)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def _append(self, name: str, step: int, rows: DataFrame) -> None:
+        """The rows of a step, in folders by bucket. A step that failed half way is written anew as a whole."""
+        spread = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(8)))
+        spread.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.at}/{name}/step={step}")
+
+    @staticmethod
+    def _newest(index: DataFrame) -> DataFrame:
+        return index.groupBy("target", "key").agg(F.max_by(F.struct("deleted", "created"), "step").alias("x")).select("target", "key", "x.*")
+
+    def step(self, new_parents: DataFrame, new_refs: DataFrame, snapshot: bool = False) -> Ledger:
+        """Take in arrived or changed parents (their newest form) and new or re-pointed references, and take a snapshot if asked."""
+        now = replace(self, steps=self.steps + 1)
+        k = now.steps
+        self._append("parents", k, new_parents.select("target", "key", "deleted", "created").withColumn("bucket", _bucket()))
+        arrived = now._read("parents", _INDEX).where(F.col("step") == k)
+        changed = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        fresh = new_refs.select(*REFERENCE, "target", "key", "time").withColumn("bucket", _bucket()).withColumn("delivered", F.lit(k))
+        # New references probe the index as it is now.
+        out = judge(fresh, self._newest(now._read("parents", _INDEX)))
+        if self.steps and changed:
+            # What waits for the arrived keys, or rested on them, is judged again; what comes out as before is not written.
+            keys = arrived.select("target", "key", "deleted", "created", F.lit(True).alias("_there"))
+            before = self._read("refs", _REFS, changed).groupBy(*REFERENCE, "target", "key", "delivered").agg(F.max_by(F.struct("time", "state"), "step").alias("x"), F.max("bucket").alias("bucket"))
+            before = before.select(*REFERENCE, "target", "key", "delivered", "bucket", "x.time", F.col("x.state").alias("was")).withColumn("_k", F.struct("target", "key"))
+            touched = salted_left_join(before, keys.select(F.struct("target", "key").alias("_k"), "deleted", "created", "_there"), "_k", "id").where("_there")
+            again = touched.withColumn("state", _state()).where("state <> was")
+            out = out.unionByName(again.select(out.columns))
+        self._append("refs", k, out)
+        return now.take_snapshot() if snapshot else now
+
+    def take_snapshot(self) -> Ledger:
+        """Write the counts as they are now: a table of periods, not of references."""
+        self.counts().coalesce(1).write.mode("overwrite").parquet(f"{self.at}/counts/step={self.steps}")
+        return replace(self, snapshots=(*self.snapshots, self.steps))
+
+    def latest(self) -> DataFrame:
+        """Each reference in its newest version with its state now."""
+        rows = self._read("refs", _REFS).groupBy(*REFERENCE).agg(F.max(F.struct("delivered", "step", "target", "key", "time", "state")).alias("x"))
+        return rows.select(*REFERENCE, "x.target", "x.key", "x.time", "x.state")
 
     def orphans(self) -> DataFrame:
         """(source_table, ref_field, id, kind) of all references that are orphans now."""
-        return self.refs.where(F.col("state").isin(*ORPHANS)).select("source_table", "ref_field", "id", F.col("state").alias("kind"))
+        return self.latest().where(F.col("state").isin(*ORPHANS)).select(*REFERENCE, F.col("state").alias("kind"))
 
-    def snapshot(self) -> DataFrame:
-        """Orphans by table, field, month of the reference (null is a period of its own) and kind."""
+    def counts(self) -> DataFrame:
+        """Orphans by table, field, month of the reference (null is a period of its own) and kind, now."""
         month = F.date_format("time", "yyyy-MM")
-        return self.refs.where(F.col("state").isin(*ORPHANS)).groupBy("source_table", "ref_field", month.alias("period"), F.col("state").alias("kind")).agg(F.count("*").alias("orphans"))
+        return self.latest().where(F.col("state").isin(*ORPHANS)).groupBy("source_table", "ref_field", month.alias("period"), F.col("state").alias("kind")).agg(F.count("*").alias("orphans"))
+
+    def history(self) -> DataFrame:
+        """The snapshots taken, each with its step."""
+        if not self.snapshots:
+            return self.spark.createDataFrame([], _SNAPSHOT)
+        return self.spark.read.schema(_SNAPSHOT).parquet(f"{self.at}/counts").where(F.col("step").isin(*self.snapshots))

@@ -22,7 +22,7 @@ _ORACLE = """
 """
 
 
-def ledger(spark: SparkSession, sf: str) -> Ledger:
+def ledger(spark: SparkSession, sf: str, snapshots: bool = False) -> Ledger:
     """The ledger after all deliveries, taken in as three steps.
 
     First come chunks as they are when created, and the references made up to the middle of the time; then the
@@ -35,13 +35,14 @@ def ledger(spark: SparkSession, sf: str) -> Ledger:
         .unionByName(references(evidence, "kb_section_summary_evidence", "summary_id", "kb_section_summary"))
         .unionByName(references(anchors, "kb_anchor_registry", "source_chunk_id", "kb_chunk"))
     )
-    middle = evidence.agg(F.expr("timestamp_micros(cast(avg(unix_micros(cast(create_time AS timestamp))) AS bigint))").alias("m")).first()["m"]
+    micros = "unix_micros(cast(create_time AS timestamp))"
+    middle = evidence.agg(F.expr(f"timestamp_micros((min({micros}) + max({micros})) div 2)").alias("m")).first()["m"]
     early = F.coalesce(F.col("time") <= F.lit(middle), F.lit(True)) if middle else F.lit(True)
     chunks = parents(table(spark, sf, "kb_chunk", "id", "del_flag", "create_time"), "kb_chunk", deleted="del_flag")
     summaries = parents(table(spark, sf, "kb_section_summary", "id", "create_time"), "kb_section_summary")
-    first = Ledger.start(chunks.withColumn("deleted", F.lit(False)), refs.where(early))
-    second = first.step(summaries, refs.where(~early))
-    return second.step(chunks.where("deleted"), refs.where(F.lit(False)))
+    first = Ledger.start(chunks.withColumn("deleted", F.lit(False)), refs.where(early), snapshots)
+    second = first.step(summaries, refs.where(~early), snapshots)
+    return second.step(chunks.where("deleted"), refs.where(F.lit(False)), snapshots)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +52,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orphans by table, field, month and kind."""
-    return ledger(spark, sf).snapshot()
+    return ledger(spark, sf).counts()
+
+
+def p5_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshots after each of the three deliveries."""
+    return ledger(spark, sf, snapshots=True).history()
 
 
 CATALOGUE = {
@@ -60,4 +66,16 @@ CATALOGUE = {
         p5_counts,
         f"WITH {_ORACLE} SELECT source_table, ref_field, strftime(time, '%Y-%m') AS period, kind, count(*) AS orphans FROM judged WHERE kind IS NOT NULL GROUP BY ALL",
     ),
+    "p5_history": (
+        p5_history,
+        f"""WITH {_ORACLE},
+        middle AS (SELECT make_timestamp((min(epoch_us(create_time)) + max(epoch_us(create_time))) // 2) AS m FROM kb_section_summary_evidence),
+        steps AS (SELECT unnest([1, 2, 3]) AS step),
+        seen AS (
+            SELECT s.step, r.source_table, r.ref_field, r.time,
+                CASE WHEN p.id IS NULL OR (p.t = 's' AND s.step < 2) THEN 'missing' WHEN p.deleted AND s.step = 3 THEN 'deleted' WHEN p.created > r.time THEN 'late' END AS kind
+            FROM steps s CROSS JOIN middle JOIN refs r ON s.step >= 2 OR coalesce(r.time <= m, true)
+            LEFT JOIN targets p ON p.id = r.key AND p.t = CASE WHEN r.ref_field = 'summary_id' THEN 's' ELSE 'c' END)
+        SELECT step, source_table, ref_field, strftime(time, '%Y-%m') AS period, kind, count(*) AS orphans FROM seen WHERE kind IS NOT NULL GROUP BY ALL""",
+    ),
 }

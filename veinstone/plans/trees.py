@@ -43,6 +43,12 @@ def p2_circles(spark: SparkSession, sf: str) -> DataFrame:
     return _nodes(spark, sf, paths=False).where("depth < 0").select(F.col("id").alias("section_id"), "state")
 
 
+def p2_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """The circles: the back edge that closes each, and its nodes from the smallest on, upwards."""
+    rings = _nodes(spark, sf).where("back IS NOT NULL")
+    return rings.select(F.col("id").alias("section_id"), F.col("back").alias("back_edge_to"), F.size("path").alias("length"), F.array_join("path", " > ").alias("cycle"))
+
+
 CATALOGUE = {
     "p2_found": (
         p2_found,
@@ -67,4 +73,12 @@ CATALOGUE = {
         f"""WITH RECURSIVE {_CLEAN}
         SELECT id AS section_id, CASE WHEN id IN (SELECT id FROM ring) THEN 'circle' ELSE 'runs into circle' END AS state FROM loose""",
     ),
+    "p2_cycles": (
+        p2_cycles,
+        f"""WITH RECURSIVE {_CLEAN},
+        first AS (SELECT start AS id FROM walk WHERE start IN (SELECT id FROM ring) GROUP BY start HAVING start = min(here)),
+        round AS (SELECT id, parent AS back, 1 AS length, id AS cycle, parent AS here FROM first JOIN l USING (id)
+                  UNION ALL SELECT r.id, r.back, r.length + 1, r.cycle || ' > ' || r.here, l.parent FROM round r JOIN l ON l.id = r.here WHERE r.here <> r.id)
+        SELECT id AS section_id, back AS back_edge_to, max(length) AS length, arg_max(cycle, length) AS cycle FROM round GROUP BY 1, 2""",
+    ),
 }
