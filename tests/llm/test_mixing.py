@@ -48,3 +48,32 @@ def test_temperature_meets_the_entropy():
 def test_empty(spark):
     _, mixed, report, _ = mix(spark, [], [("a", 1.0, 1)])
     assert mixed.count() == 0 and report["a"]["actual_share"] in (0.0, None)
+
+
+def test_each_source_has_the_exponent_of_its_target():
+    sources = [M.Source("a", 0.7, 2, 900, 90), M.Source("b", 0.25, 9, 90, 9), M.Source("c", 0.05, 1, 10, 1), M.Source("none", 0.0, 1)]
+    total, _ = M.plan(sources)
+    for s in sources[:2]:
+        assert (s.tokens / 1000) ** s.exponent == pytest.approx(s.target, rel=1e-6)
+    assert sources[2].state == "capped" and (10 / 1000) ** sources[2].exponent == pytest.approx(10 / total, rel=1e-6)
+    assert sources[3].exponent is None and sum(s.budget for s in sources) == pytest.approx(total)
+    assert M.exponent_for(1.0, 0.5) is None and M.exponent_for(0.0, 0.5) is None and M.exponent_for(0.5, 0.0) is None
+
+
+def test_order_is_blocks_of_permutations(spark):
+    docs = [(i, "a", 5 + i % 7) for i in range(1500)] + [(5000 + i, "b", 6) for i in range(200)]
+    _, mixed, report, _ = mix(spark, docs, [("a", 0.6, 1), ("b", 0.4, 9)])
+    rows = M.order(mixed, "doc_id", 1000).orderBy("block", "place").collect()
+    assert len(rows) == sum(r["copies"] for r in mixed.collect())
+    used, passes = {}, {}
+    for r in rows:
+        passes.setdefault((r["source"], r["pass"]), []).append(r["doc_id"])
+        used.setdefault(r["block"], {}).setdefault(r["source"], []).append(r["tokens"])
+    blocks = sorted(used)
+    assert blocks == list(range(len(blocks)))
+    for b in blocks[:-1]:
+        assert sum(used[b]["a"]) == pytest.approx(1000 * report["a"]["actual_share"], abs=24) and sum(used[b]["b"]) == pytest.approx(1000 * report["b"]["actual_share"], abs=24)
+    # Whole passes hold every record once, in orders that differ from pass to pass.
+    first, second = passes["b", 0], passes["b", 1]
+    assert sorted(first) == sorted(second) == list(range(5000, 5200)) and first != second
+    assert M.order(mixed.limit(0), "doc_id").count() == 0

@@ -1,13 +1,15 @@
 """Mixing of sources to target shares of the total size, with a cap on how often a record is used.
 
-The budget is given in tokens (by default one pass over the sources that have a target). Each source gets its target
-share of the budget if its records, used ``max_repeats`` times at most, can fill it; a source that can't is used up to
-its cap. What such sources leave open is spread over the others by temperature: weights are the token shares of the
-sources to the power of an exponent, and the exponent is bisected until those others have the entropy of their targets,
-as far as the repetition limits allow. The weights are realised as block permutations: a source is passed whole as often as its
-weight asks, each pass being one block; the last block ends where the budget does. Records are taken in the order of a
-hash, by buckets: only the one bucket in which a block ends is looked at record by record, so no source, however large,
-goes through one task.
+Temperature mixing: the weight of a source is its share of all tokens, raised to an exponent. One exponent can't meet
+the targets of many sources, so each source has its own: it is bisected until the weight is the target, or what the
+repetition limit allows where that is less. What capped and missing sources leave of the budget (in tokens, by default one pass over
+the sources that have a target) is spread over the others under one common exponent, bisected until those others have the entropy
+of their targets, as far as their limits allow. The normalised weights are realised as block permutations with
+a budget: a source is passed as often as its weight asks, every pass being a permutation of its own; the last one ends where the
+budget does. Laid out in order (``order``), the mix is a row of blocks of equal size, in each of which every source has its weight.
+
+No source, however large, goes through one task: sums go by buckets of a hash, and only the bucket in which a pass ends
+is looked at record by record.
 
 Defined results: records of sources without a target (and of a null source) are not used; targets of sources without
 records are reported with a share of 0; null and empty texts have 0 tokens and are not used; repeated texts under other
@@ -35,6 +37,7 @@ class Source:
     tokens: int = 0
     documents: int = 0
     budget: float = 0.0
+    exponent: float | None = None
     state: str = "met"
 
     @property
@@ -82,13 +85,29 @@ def temperature(amount: float, given: list[float], tokens: list[float], room: li
     return high, at(high)[1]
 
 
+def exponent_for(share: float, weight: float) -> float | None:
+    """The exponent that turns a share of tokens into that weight, by bisection; null where none does (a share or weight of 0, or a share of 1)."""
+    if not 0 < share < 1 or weight <= 0:
+        return None
+    low, high = -64.0, 64.0  # a smaller exponent gives more weight
+    for _ in range(80):
+        middle = (low + high) / 2
+        if share**middle > weight:
+            low = middle
+        else:
+            high = middle
+    return high
+
+
 def plan(sources: list[Source], budget: float | None = None) -> tuple[float, float]:
-    """Set the budgets of the sources. Returns (total budget, exponent)."""
-    total = float(sum(s.tokens for s in sources)) if budget is None else float(budget)
+    """Set the exponents and budgets of the sources. Returns (total budget, the common exponent of what is spread)."""
+    everything = float(sum(s.tokens for s in sources))
+    total = everything if budget is None else float(budget)
     for s in sources:
-        wanted = s.target * total
-        s.budget = min(wanted, s.cap)
-        s.state = "no documents" if not s.tokens else "met" if s.budget >= wanted else "capped"
+        wanted, share = s.target * total, s.tokens / everything if everything else 0.0
+        s.state = "no documents" if not s.tokens else "met" if wanted <= s.cap else "capped"
+        s.exponent = exponent_for(share, min(wanted, s.cap) / total if total else 0.0)
+        s.budget = share**s.exponent * total if s.exponent is not None else min(wanted, s.cap)
     missing = total - sum(s.budget for s in sources)
     if missing <= 0:
         return total, 1.0
@@ -109,15 +128,18 @@ def read_sources(records: DataFrame, source: str, tokens: str, targets: DataFram
     return [Source(r["source"], r["share"] or 0.0, r["repeats"] or 0, r["tokens"] or 0, r["documents"] or 0) for r in sorted(rows, key=lambda r: r["source"])]
 
 
+def _bucket(place):
+    return F.shiftrightunsigned(place, 64 - int(math.log2(BUCKETS))).cast("int")
+
+
 def mix(records: DataFrame, key: str, source: str, tokens: str, sources: list[Source], seed: int = 11) -> DataFrame:
-    """(key, source, tokens, copies, place): how often each record is used; place orders the records of a block."""
+    """(key, source, tokens, copies): how often each record is used. The last pass takes records in the order of its own permutation."""
     spark = records.sparkSession
-    hashed = F.xxhash64(F.lit(seed), F.col(key))
-    r = records.where(F.col(tokens) > 0).select(F.col(key), F.col(source).alias("source"), F.col(tokens).alias("tokens"), hashed.alias("place")).dropDuplicates([key, "source"])
-    r = r.withColumn("bucket", F.shiftrightunsigned("place", 64 - int(math.log2(BUCKETS))).cast("int"))
     rows = [(s.name, int(s.budget // s.tokens) if s.tokens else 0, int(round(s.budget % s.tokens)) if s.tokens else 0, s.max_repeats) for s in sources]
     wanted = F.broadcast(spark.createDataFrame(rows, "source string, passes int, rest long, most int"))  # one row a target
-    r = r.join(wanted, "source")
+    r = records.where(F.col(tokens) > 0).select(F.col(key), F.col(source).alias("source"), F.col(tokens).alias("tokens")).dropDuplicates([key, "source"])
+    r = r.join(wanted, "source").withColumn("place", _place(seed, "passes", key))
+    r = r.withColumn("bucket", _bucket("place"))
     # The running sum over buckets needs BUCKETS numbers a source.
     order = Window.partitionBy("source").orderBy("bucket")
     ends = r.groupBy("source", "bucket").agg(F.sum("tokens").alias("here")).withColumn("upto", F.sum("here").over(order))
@@ -125,17 +147,42 @@ def mix(records: DataFrame, key: str, source: str, tokens: str, sources: list[So
     r = r.join(F.broadcast(last), "source", "left")  # one row a target
     within = Window.partitionBy("source").orderBy("place", key)
     final = r.where(F.col("bucket") == F.col("last")).withColumn("run", F.col("before") + F.sum("tokens").over(within))
-    # A record is in if at least half of it is within the budget, so that blocks end as near to it as records allow.
+    # A record is in if at least half of it is within the budget, so that passes end as near to it as records allow.
     final = final.withColumn("extra", (F.col("run") - F.col("tokens") / 2 <= F.col("rest")).cast("int")).drop("run")
     others = r.where(F.col("last").isNull() | (F.col("bucket") != F.col("last"))).withColumn("extra", (F.col("last").isNull() | (F.col("bucket") < F.col("last"))).cast("int"))
     others = others.withColumn("extra", F.when(F.col("rest") == 0, 0).otherwise(F.col("extra")))
-    return others.unionByName(final).select(key, "source", "tokens", F.least(F.col("passes") + F.col("extra"), "most").cast("int").alias("copies"), "place").where("copies > 0")
+    return others.unionByName(final).select(key, "source", "tokens", F.least(F.col("passes") + F.col("extra"), "most").cast("int").alias("copies")).where("copies > 0")
+
+
+def _place(seed: int, turn: str, key: str):
+    """Place of a record in the permutation of one pass."""
+    return F.xxhash64(F.lit(seed), F.col(turn).cast("int"), F.col(key))
+
+
+def order(mixed: DataFrame, key: str, block: int = 1_000_000, seed: int = 11) -> DataFrame:
+    """(block, place, key, source, pass, tokens): the mix laid out. Sorted by block and place it is what a reader sees.
+
+    A block holds ``block`` tokens, of which each source has its share of the whole mix, as near as records allow; within
+    it records of all sources are permuted. The passes of a source follow each other, each in an order of its own.
+    """
+    shares = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
+    total = F.sum("used").over(Window.partitionBy())  # one row a target
+    per_block = F.broadcast(shares.select("source", (F.col("used") / total * F.lit(float(block))).alias("room")))
+    copies = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("at", _place(seed, "pass", key))
+    copies = copies.withColumn("bucket", _bucket("at"))
+    # Sums by source, pass and bucket: a running sum over them needs BUCKETS numbers a pass.
+    ends = copies.groupBy("source", "pass", "bucket").agg(F.sum("tokens").alias("here"))
+    ends = ends.withColumn("before", F.sum("here").over(Window.partitionBy("source").orderBy("pass", "bucket")) - F.col("here")).drop("here")
+    within = Window.partitionBy("source", "pass", "bucket").orderBy("at", key)
+    begins = copies.join(ends, ["source", "pass", "bucket"]).withColumn("begin", F.col("before") + F.sum("tokens").over(within) - F.col("tokens"))
+    placed = begins.join(per_block, "source").withColumn("block", F.floor(F.col("begin") / F.col("room")).cast("long"))
+    return placed.select("block", F.xxhash64(F.lit(seed), F.col("block"), F.col("pass"), F.col(key)).alias("place"), key, "source", "pass", "tokens")
 
 
 def report(mixed: DataFrame, sources: list[Source]) -> DataFrame:
     """A row a target: what was asked, what there is, what the mix holds."""
     spark = mixed.sparkSession
-    asked = spark.createDataFrame([(s.name, s.target, s.max_repeats, s.documents, s.tokens, s.state) for s in sources], "source string, target_share double, max_repeats int, documents long, tokens long, state string")
+    asked = spark.createDataFrame([(s.name, s.target, s.max_repeats, s.documents, s.tokens, None if s.exponent is None else round(s.exponent, 6), s.state) for s in sources], "source string, target_share double, max_repeats int, documents long, tokens long, exponent double, state string")
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies"))
     joined = F.broadcast(asked).join(used, "source", "left").fillna(0, ["used_tokens", "used_documents", "most_copies"])
     everything = Window.partitionBy()

@@ -85,6 +85,12 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "tokens", "copies")
 
 
+def p8_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix laid out in blocks of 100,000 tokens, each a permutation with the shares of the whole."""
+    mixed, _ = _mix(spark, sf)
+    return mixing.order(mixed, "doc_id", 100_000)
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual share of each source."""
     return mixing.report(*_mix(spark, sf))
@@ -102,7 +108,7 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p8_mix, p8_report, p9_found, p9_kept)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p8_mix, p8_order, p8_report, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
