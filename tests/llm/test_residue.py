@@ -50,3 +50,33 @@ def test_frames(spark):
 )
 def test_short_texts_of_residue_alone(t, kind):
     assert R.kinds_of(t) == ({kind}, 1.0)
+
+
+@pytest.mark.parametrize("text", ["该服务器无响应。", "服务器无响应。", "文档未找到。", "请求被拒绝。", "test test test", "This page does not exist.", "404 Gone", "请启用JS", "Your paragraph goes here."])
+def test_short_messages_are_judged_without_any_hint_of_words(text):
+    assert R.kinds_of(text)[0]
+
+
+def test_what_a_delimiter_holds_may_be_long():
+    name = "Name of the very long contracting party and its legal successors in all branches of the group"
+    for text in (f"Between [{name} – to be completed] and us.", f"Between [insert {name} here] and us.", f"Dear [Your {name}], thank you."):
+        assert "placeholder" in R.kinds_of(text)[0]
+    assert not R.kinds_of(f"Between ({name}, the bank – which decides) and us.")[0]
+
+
+def test_placeholders_are_discounted_by_what_surrounds_them():
+    prose = "The mail service fills in what it knows about each reader before it sends the letter. " * 6
+    assert "placeholder" in R.kinds_of(prose + "Dear {{ customer.name }}, welcome.")[0]
+    assert not R.kinds_of(prose + "```\nDear {{ customer.name }}, welcome.\n```\n" + prose)[0]
+    assert not R.kinds_of(prose + "A variable such as {{ customer.name }} is looked up.")[0]
+    assert not R.kinds_of(prose + "The syntax for example is as follows:\n{{ customer.name }}\n" + prose)[0]
+    assert "placeholder" in R.kinds_of("The syntax is {{ a }} {{ b }} {{ c }} {{ d }}")[0]  # dense
+
+
+def test_every_grammar_is_tried_where_its_sentence_can_begin():
+    """The table by first characters leaves out no rule that matches."""
+    import re
+
+    for sentence in ("lorem ipsum dolor", "Traceback (most recent call last):", "抱歉，该页面不存在", "请先启用 JavaScript", "Fehler 404", "HTTP Status 500", "ſorry, something went wrong", "noscript"):
+        plain = {k for k, p in R._KINDS_OF_SENTENCE if re.match("(?:" + p + R._TAIL, sentence, re.I | re.S)}
+        assert (R._GRAMMAR.kind(sentence) in plain) if plain else R._GRAMMAR.kind(sentence) is None

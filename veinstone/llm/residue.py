@@ -4,7 +4,8 @@ Four kinds are told apart: an unfilled ``placeholder``, ``filler`` text, an ``er
 Placeholders have one grammar per delimiter (``{{name}}``, ``${name}``, ``<%= name %>``, ``[Insert name here]`` and so
 on): a delimiter alone is no evidence, what it holds must be a name or an instruction to fill in. The other kinds are
 judged by the sentence: the message itself must be what the sentence says, from its beginning, not what it reports on.
-Code blocks are removed before, and sentences that explain a syntax count only if placeholders are dense in the text.
+What a placeholder counts depends on what surrounds it: little in a code block, little where a sentence explains a syntax or in
+a tutorial, in full in running text; discounted ones make residue only where they are dense.
 
 Defined results: null and empty texts are no cases; texts are read whole, however long; repeated rows give repeated
 results (one per row); other columns of any name are not touched; an empty table gives an empty result.
@@ -12,8 +13,8 @@ results (one per row); other columns of any name are not touched; an empty table
 
 from __future__ import annotations
 
+import bisect
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,28 +32,34 @@ PLACEHOLDERS = {
     "mustache": rf"\{{\{{[#/^&>]?\s*{_NAME}(?:\s*\|\s*{_NAME})*\s*\}}\}}",
     "dollar": rf"\$\{{\s*{_NAME}\s*\}}",
     "hash": rf"#\{{\s*{_NAME}\s*\}}",
-    "tag": rf"\{{%-?\s*{_NAME}[^%{{}}\n]{{0,60}}-?%\}}",
+    "tag": rf"\{{%-?\s*{_NAME}[^%{{}}\n]*-?%\}}",
     "erb": rf"<%[=-]?\s*{_NAME}\s*-?%>",
     "printf": rf"%\(\s*{_NAME}\s*\)[sdfr]",
     "angles": rf"<<\s*{_NAME}\s*>>",
     "brackets": rf"\[\[\s*{_NAME}\s*\]\]",
     "underscores": rf"(?<![\w_])__{_UPPER}__(?![\w_])",
     "ats": rf"@@\s*{_UPPER}\s*@@",
-    "insert": r"(?i:[\[<{(]\s*(?:please\s+)?(?:insert|enter|fill\s+in|add|type|specify)\s+(?:the\s+|your\s+)?[\w /-]{1,40}?(?:\s+here)?\s*[\]>})])",
-    "your": r"\[\s*(?:YOUR|Your|IHR|IHRE|IHR\(E\)|Ihr|Ihre|Ihr\(e\))\s+[\w /-]{1,40}\]",
-    "completed": r"(?i:[\[<(]\s*[\w /-]{1,40}?\s*[–—:-]\s*(?:to\s+be\s+(?:completed|filled(?:\s+in)?|confirmed|added|defined)|tb[dac]|noch\s+(?:zu\s+ergänzen|offen))\s*[\])>])",
-    "eintragen": r"(?i:[\[<(]\s*(?:hier\s+|bitte\s+)?[\w /-]{1,40}?\s+(?:eintragen|einfügen|einsetzen|ergänzen|ausfüllen|angeben)\s*[\])>])",
-    "fill_zh": r"[【\[（(<《{]\s*(?:此处|这里|请在此|请)?\s*(?:填写|填入|输入|插入|请填写|请输入|录入)[^\n】\]）)>》}]{1,20}[】\]）)>》}]",
-    "pending_zh": r"[【\[（(<《{][^\n【】\[\]（）()<>《》{}]{1,20}(?:待补充|待填写|待填|待定|待完善|待确认)[】\]）)>》}]",
-    "crosses_zh": r"[【\[][^\n【】\[\]]{1,20}[】\]]\s*[X×xＸ]{3,}",
-    "blank_zh": r"[_＿]{3,}\s*[（(][^\n（）()]{1,20}[）)]",
+    "insert": r"(?i:[\[<{(]\s*(?:please\s+)?(?:insert|enter|fill\s+in|add|type|specify)\s+(?:the\s+|your\s+)?[\w /-]+?(?:\s+here)?\s*[\]>})])",
+    "your": r"\[\s*(?:YOUR|Your|IHR|IHRE|IHR\(E\)|Ihr|Ihre|Ihr\(e\))\s+[\w /-]+\]",
+    "completed": r"(?i:[\[<(]\s*[\w /-]+?\s*[–—:-]\s*(?:to\s+be\s+(?:completed|filled(?:\s+in)?|confirmed|added|defined)|tb[dac]|noch\s+(?:zu\s+ergänzen|offen))\s*[\])>])",
+    "eintragen": r"(?i:[\[<(]\s*(?:hier\s+|bitte\s+)?[\w /-]+?\s+(?:eintragen|einfügen|einsetzen|ergänzen|ausfüllen|angeben)\s*[\])>])",
+    "fill_zh": r"[【\[（(<《{]\s*(?:此处|这里|请在此|请)?\s*(?:填写|填入|输入|插入|请填写|请输入|录入)(?:[^\n】\]）)>》}]{1,20}|[^\n。；，,;】\]）)>》}]+)[】\]）)>》}]",
+    "pending_zh": r"[【\[（(<《{](?:[^\n【】\[\]（）()<>《》{}]{1,20}|[^\n。；，,;【】\[\]（）()<>《》{}]+)(?:待补充|待填写|待填|待定|待完善|待确认)[】\]）)>》}]",
+    "crosses_zh": r"[【\[][^\n【】\[\]]+[】\]]\s*[X×xＸ]{3,}",
+    "blank_zh": r"[_＿]{3,}\s*[（(][^\n（）()]+[）)]",
 }
+#: Characters with which a delimiter can open; the grammars are tried nowhere else.
+_OPENS = re.compile(r"[{$#%<\[@_＿【（(《]")
 _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS.values()))
 #: What a sentence says that explains a syntax instead of leaving it unfilled.
 _EXPLAINS = re.compile(
     r"(?i)\b(?:syntax|variable|delimiter|escap\w+|for example|e\.\s?g\.|such as|is written|are written|z\.\s?B\.|zum Beispiel|Schreibweise|heißt|lautet)\b|语法|写作|写成|例如|比如|形如|变量名"
 )
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b.*?</\1>|`[^`\n]{1,200}`", re.S | re.I)
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b.*?</\1>|`[^`\n]+`", re.S | re.I)
+#: What a placeholder counts where it stands: in running text, in a sentence that explains a syntax, beside such a sentence, in code.
+WEIGHTS = {"text": 1.0, "beside": 0.5, "explained": 0.1, "code": 0.02}
+#: Share of sentences that explain a syntax from which the whole text is a tutorial, and its placeholders count as explained.
+TUTORIAL = 0.3
 
 _THING = r"(?:the |this |that |your |requested |plan |page |site |website |document |file |form |viewer |view |record |content |resource |item |link |url |sheet |data |server |service |application |app |report |entry |connection |request |portal |system ){1,4}"
 _DING = r"(?:(?:der|die|das|diese|dieser|dieses|ihre|ihr|angeforderte|gewünschte|aufgerufene) ){1,3}(?:[\w-]+ ){1,2}?"
@@ -114,7 +121,7 @@ ERRORS = (
     r"(?:zu viele anfragen|wartungsarbeiten)\b.{0,60}",
     r"(?:http)?(?:错误|状态码?|error)?\s*[45]\d\d\s*[:：–—-]?\s*(?:抱歉|页面|对不起|服务器|错误|禁止|未找到|访问).{0,40}",
     r"(?:抱歉|对不起|很遗憾)?[，,]?\s*" + _ZH_THING + r"(?:暂时|已经|已|正在)?(?:不存在|无法(?:显示|访问|打开|加载|找到)|加载失败|响应超时|已下线|下线|已(?:被)?删除|未找到|找不到|走丢了|打不开|出错|维护中).{0,30}",
-    r"(?:内部)?(?:服务器|系统|网络|数据库)(?:内部)?(?:错误|繁忙|异常|维护中|连接失败|连接超时|出错|开小差|升级中|无响应)(?:[，,（(].{0,30})?",
+    r"(?:该|本|此)?(?:内部)?(?:服务器|系统|网络|数据库)(?:内部)?(?:错误|繁忙|异常|维护中|连接失败|连接超时|出错|开小差|升级中|无响应)(?:[，,（(].{0,30})?",
     r"(?:您)?(?:没有|无)(?:访问|查看)?权限(?:访问|查看|打开)?.{0,20}",
     r"(?:访问|请求)(?:被拒绝|被禁止|过于频繁|超时|失败).{0,30}",
     r"操作(?:过于频繁|失败|超时).{0,30}",
@@ -142,17 +149,60 @@ SCRIPTS = (
 )
 
 
-def _any(patterns: tuple[str, ...]) -> re.Pattern:
-    return re.compile("(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\s*[.。!！…?？]*\s*\Z", re.I | re.S)
+_KINDS_OF_SENTENCE = [("filler", p) for p in FILLER] + [("error", p) for p in ERRORS] + [("script", p) for p in SCRIPTS]
+_TAIL = r")\s*[.。!！…?？]*\s*\Z"
+_SPLIT = re.compile(r"(?<=[。！？!?])|(?<=[.…])(?=\s)|[\n\r\v\f\t\u2028\u2029\u0085]+")
 
 
-_SENTENCE_KINDS = (("filler", _any(FILLER)), ("error", _any(ERRORS)), ("script", _any(SCRIPTS)))
-_SPLIT = re.compile(r"(?<=[。！？!?])|(?<=[.…])(?=\s)|[\n\r\v\f\t\u2028\u2029\u0085]+")
+class Grammar:
+    """The sentence grammars as one table: by the first character of a sentence, those that can begin with it.
+
+    Which ones can is asked of the grammars themselves (a partial match of that character), once a character.
+    """
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules = rules
+        self.by_first: dict[str, tuple[tuple[str, re.Pattern], ...]] = {}
+        self.compiled: dict[tuple[str, tuple[int, ...]], re.Pattern] = {}
+        try:
+            import regex
+
+            self.begins = [regex.compile("(?:" + p + _TAIL, regex.I | regex.S) for _, p in rules]
+        except ImportError:
+            self.begins = None
+
+    def _rules_for(self, c: str) -> tuple[tuple[str, re.Pattern], ...]:
+        able = [i for i in range(len(self.rules)) if self.begins is None or self.begins[i].match(c, partial=True)]
+        out = []
+        for kind in dict.fromkeys(k for k, _ in self.rules):
+            own = tuple(i for i in able if self.rules[i][0] == kind)
+            if own:
+                if (kind, own) not in self.compiled:
+                    self.compiled[kind, own] = re.compile("(?:" + "|".join(f"(?:{self.rules[i][1]})" for i in own) + _TAIL, re.I | re.S)
+                out.append((kind, self.compiled[kind, own]))
+        return tuple(out)
+
+    def kind(self, sentence: str) -> str | None:
+        """The kind of which the whole sentence is, from its first character to its last."""
+        first = sentence[:1]
+        if (rules := self.by_first.get(first)) is None:
+            if len(self.by_first) > 100_000:
+                self.by_first.clear()
+            rules = self.by_first[first] = self._rules_for(first)
+        for kind, pattern in rules:
+            if pattern.match(sentence):
+                return kind
+        return None
+
+
+_GRAMMAR = Grammar(_KINDS_OF_SENTENCE)
 #: A label before the sentence: a list mark, a heading mark, question and answer marks.
 _LABEL = re.compile(r"^\s*(?:[-*•#>]+\s*|\(?[a-z0-9一二三四五六七八九十]{1,3}[.)、）]\s*|(?:q|a|frage|antwort|问|答)\s*[:：]\s*|\d+(?:\.\d+)*\s+(?=[^\d\s]))*", re.I)
+_SENTENCE_END = re.compile(r"(?<=[。！？!?\n])(?!\Z)|(?<=[.…])(?=\s)")
+_CODE_MARK = re.compile(r"`|~~~|<(?:pre|code)\b", re.I)
 _PSEUDO = re.compile(r"(?i)\blorem ipsum\b")
 #: A run of words without digits, capitals or marks, long enough to be judged as pseudo-Latin.
-_WORDS = re.compile(r"[A-Z]?[a-z]+(?: [a-z]+){8,}")
+_WORDS = re.compile(r"(?<![a-z])[A-Z]?[a-z]++(?: [a-z]++){8,}+")
 #: Words without which hardly any sentence of nine words or more gets along in languages written with plain letters.
 _FUNCTION_WORDS = frozenset(
     "the of and to in is for on with at by from or that as are be was it this an not a has have its will may if "
@@ -162,20 +212,59 @@ _FUNCTION_WORDS = frozenset(
 )
 
 
+_HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]+")
+_SPACES = re.compile(r"[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
+#: Letters of scripts other than Latin and ideographs, pictures, full-width letters and digits.
+_FOREIGN = re.compile(r"[^\u0000-\u024f\u2000-\u206f\u3000-\u303f\u4e00-\u9fff\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff5e]+")
+
+
 def normal(text: str) -> str:
-    """The text in compatibility form, without invisible characters."""
-    text = re.sub(r"[\u00ad\u200b-\u200f\u2060\ufeff]", "", text)
-    return re.sub(r"[\u00a0\u2000-\u200a\u202f\u205f\u3000]", " ", text)
+    """The text without invisible characters, with one kind of space."""
+    return text if text.isascii() else _SPACES.sub(" ", _HIDDEN.sub("", text))
 
 
 def _without_foreign(text: str) -> str:
     """The text without short runs of letters of a foreign script or of pictures, which break sentences of the main scripts."""
-    out = []
-    for c in text:
-        o = ord(c)
-        if o < 0x250 or 0x2000 <= o < 0x2070 or 0x3000 <= o < 0x3040 or 0x4E00 <= o < 0xA000 or (0xFF00 <= o < 0xFF5F and unicodedata.category(c)[0] not in "LN") or c == "＿":
-            out.append(c)
-    return "".join(out)
+    return text if text.isascii() else _FOREIGN.sub("", text)
+
+
+def placeholders(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of each placeholder, by the grammar of the delimiter that opens there."""
+    out, end = [], 0
+    for o in _OPENS.finditer(text):
+        if o.start() >= end and (m := _PLACEHOLDER.match(text, o.start())):
+            end = m.end()
+            out.append((m.start(), end))
+    return out
+
+
+def unfilled(text: str, code: list[tuple[int, int]]) -> bool:
+    """Whether the text holds placeholders that stand for content: one that counts in full, or several that together are dense.
+
+    A placeholder is discounted in code, in a sentence that explains a syntax, beside such a sentence (above all in the lines
+    that follow a colon), and in a text of which a good part explains a syntax.
+    """
+    hits = placeholders(text)
+    if not hits:
+        return False
+    ends = [m.start() for m in _SENTENCE_END.finditer(text)] + [len(text)]
+    spans = list(zip([0, *(e for e in ends[:-1])], ends))
+    explains = [bool(_EXPLAINS.search(text, a, b)) for a, b in spans]
+    tutorial = sum(explains) / len(spans) >= TUTORIAL and len(spans) > 2
+    full, dense = False, 0.0
+    for a, b in hits:
+        k = bisect.bisect_right(ends, a)
+        if any(x <= a < y for x, y in code):
+            where = "code"
+        elif explains[k] or tutorial:
+            where = "explained"
+        elif k and explains[k - 1] and text[: spans[k][0]].rstrip()[-1:] in ":：":
+            where = "beside"
+        else:
+            where = "text"
+        full |= where == "text"
+        dense += WEIGHTS["code"] if where == "code" else 1.0
+    return full or 100 * dense / max(1, len(text)) >= DENSE
 
 
 def pseudo_latin(run: str) -> bool:
@@ -185,32 +274,32 @@ def pseudo_latin(run: str) -> bool:
 
 
 def kinds_of(text: str | None) -> tuple[set[str], float]:
-    """The kinds of residue in the text, and the share of its sentences that are residue."""
+    """The kinds of residue in the text, and the share of its sentences that are residue. Messages within code are no messages of the text."""
     found: set[str] = set()
     if not text:
         return found, 0.0
-    t = _CODE.sub(" ", normal(text))
-    hits = list(_PLACEHOLDER.finditer(t))
+    t = normal(text)
+    code = [m.span() for m in _CODE.finditer(t)] if _CODE_MARK.search(t) else []
+    if unfilled(t, code):
+        found.add("placeholder")
+    if code:
+        t = _CODE.sub(" ", t)
     bad = total = 0
-    if hits:
-        lines = re.split(r"(?<=[。！？!?\n])", t)
-        explained = sum(len(_PLACEHOLDER.findall(x)) for x in lines if _EXPLAINS.search(x))
-        if explained < len(hits) or 100 * len(hits) / max(1, len(t)) >= DENSE:
-            found.add("placeholder")
+    seen: set[str] = set()
     for form in {t, _without_foreign(t)}:
         for s in _SPLIT.split(form):
-            if not s:
-                continue
-            s = s.strip()
-            if len(s) < 2:
+            if not s or len(s := s.strip()) < 2:
                 continue
             total += 1
-            for x in {s, _LABEL.sub("", s)}:
-                for kind, pattern in _SENTENCE_KINDS:
-                    if x and pattern.match(x):
-                        found.add(kind)
-                        bad += 1
-                        break
+            if s in seen:
+                continue
+            seen.add(s)
+            kind = _GRAMMAR.kind(s)
+            if kind is None and (x := _LABEL.sub("", s)) and x != s:
+                kind = _GRAMMAR.kind(x)
+            if kind:
+                found.add(kind)
+                bad += 1
     if _PSEUDO.search(t) or any(pseudo_latin(m.group()) for m in _WORDS.finditer(t)):
         found.add("filler")
     return found, bad / max(1, total)
