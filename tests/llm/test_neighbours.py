@@ -68,15 +68,53 @@ def test_unusable_vectors(spark):
     assert search(frame(spark, []), k=10) == {} and search(frame(spark, good[:1]), k=10) == {}
 
 
-def test_leaves_cut_at_prefixes_and_lose_nothing():
+def test_ranges_are_the_longest_prefix_matches():
     rng = np.random.default_rng(0)
     h = np.sort(np.concatenate([rng.integers(0, 1 << N.BITS, 1000), np.full(300, 12345)]))
-    blocks = N.leaves(h, 64, True)
-    seen = np.zeros(len(h), bool)
-    for a, b in blocks:
-        assert b - a <= 64
-        seen[a:b] = True
-    assert seen.all()
+    level = rng.integers(0, N.BITS + 1, len(h))
+    seen = np.zeros(len(h), int)
+    for rows, a, b in N.matches(h, level):
+        for r in rows:
+            same = (h >> np.int64(N.BITS - level[r])) == (h[r] >> np.int64(N.BITS - level[r]))
+            assert same[a:b].all() and same.sum() == b - a
+        seen[rows] += 1
+    assert (seen == 1).all()
+
+
+def test_the_ascent_ends_at_one_level_in_all_trees():
+    rng = np.random.default_rng(1)
+    x = N.unit(rng.standard_normal((4000, DIM)))
+    f = N.Forest(x, len(x), 5, 50, 3)
+    levels = np.array([level for _, _, level in f.place(x)])
+    assert (levels == levels[0]).all()
+    sizes = lambda by: sum(t.size(t.strings(x), by) for t in f.trees)
+    assert (sizes(levels[0]) >= 250).all() and (sizes(np.minimum(N.BITS, levels[0] + 1)) < 250).all()
+
+
+def test_quantised_forms():
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((1, 97))
+    x = N.unit(np.concatenate([base + 0.3 * rng.standard_normal((300, 97)), rng.standard_normal((300, 97))]))
+    exact = x @ x.T
+    for bits in (8, 4):
+        q = N.quantise(x, bits)
+        y = N.dequantise(q.tobytes(), 600, 97, bits)
+        near = exact >= 0.85
+        assert near.sum() > 10_000 and (exact - y @ y.T)[near].max() <= N.SLACK[bits]
+
+
+def test_a_crowd_of_near_copies_is_searched_like_any_other(spark):
+    """Vectors whose strings are all equal get bits of their own: none is lost for being in a crowd."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(DIM)
+    crowd = [(i, (base + 0.02 * rng.standard_normal(DIM)).astype(np.float32).tolist()) for i in range(1500)]
+    rest = [(5000 + i, rng.standard_normal(DIM).astype(np.float32).tolist()) for i in range(300)]
+    tree = N.Forest(N.unit(np.array([v for _, v in crowd + rest], np.float32)), 1800, 3, 16, 7)
+    assert any(t.crowds for t in tree.trees) or tree.parts > 3
+    expected = brute(crowd + rest, 10)
+    got = search(frame(spark, crowd + rest), k=10, trees=24, leaf=64)
+    hits = sum(len({j for j, _ in expected[i]} & set(got.get(i, []))) for i, _ in crowd)
+    assert hits / sum(len(expected[i]) for i, _ in crowd) >= 0.9
 
 
 def test_trees_follow_the_theory():

@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The 10 nearest others of every usable vector, whatever their cosine: (chunk_id, neighbour_id, cosine, place)."""
     vectors = table(spark, sf, "knowledge_chunks_v1", "chunk_id", "embedding_vector")
-    near = neighbours.nearest(vectors, "chunk_id", "embedding_vector", DIM, k=10, trees=14, leaf=8192, adapt=1.0)
+    near = neighbours.nearest(vectors, "chunk_id", "embedding_vector", DIM, k=10, trees=14, leaf=4096, adapt=1.0)
     return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "place")
 
 
