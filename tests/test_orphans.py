@@ -31,7 +31,7 @@ def test_steps_give_what_one_load_gives(spark):
     whole = kinds(Ledger.start(chunks(spark, c), refs(spark, r)))
     alive = [(i, False, t) for i, _, t in c]
     ledger = Ledger.start(chunks(spark, alive[:20]), refs(spark, r[:150]))
-    assert 41 in {x["key"] for x in ledger.latest().where("state = 'missing'").collect()}
+    assert ledger.latest().where("state = 'missing'").count() > 50
     ledger = ledger.step(chunks(spark, alive[20:]), refs(spark, r[100:]))  # parents resolve what waits; some references come again
     ledger = ledger.step(chunks(spark, [x for x in c if x[1]]), refs(spark, []))  # deletions reopen
     assert kinds(ledger) == whole
@@ -60,7 +60,7 @@ def test_a_step_writes_what_changed_and_snapshots_are_kept(spark):
     c = [(i, False, T[0]) for i in range(500)]
     ledger = Ledger.start(chunks(spark, c), refs(spark, [(i, i, T[5]) for i in range(500)]), snapshot=True)
     ledger = ledger.step(chunks(spark, [(7, True, T[0])]), refs(spark, []), snapshot=True)
-    written = ledger._read("refs", "source_table string, ref_field string, id long, target string, key long, time timestamp_ntz, state string, delivered int, step int, bucket int")
+    written = ledger._read("refs", "source_table string, ref_field string, id long, target string, key long, time timestamp_ntz, state tinyint, delivered int, step int, bucket int")
     assert {r["step"]: r["count"] for r in written.groupBy("step").count().collect()} == {1: 500, 2: 1}
     assert [(r["step"], r["kind"], r["orphans"]) for r in ledger.history().orderBy("step").collect()] == [(2, "deleted", 1)]
 

@@ -13,7 +13,7 @@ references name are spread by the row (``session.salted_left_join``); parents ar
 
 States: ``missing`` (no such parent), ``deleted`` (the parent is deleted), ``late`` (the parent was created after the
 reference), ``resolved``. A null reference is none; one that is re-pointed to null is no longer counted. Repeated rows count once; of several
-rows of one reference in one step the one with the latest time counts, then the greatest key, a null time being the earliest; a reference without a
+rows of one reference in one step the one with the latest time counts, of equal times the one whose key has the greatest hash, a null time being the earliest; a reference without a
 time is never late; a null deletion mark counts as not deleted; of several parents of one key in one step the one
 created first counts, and it is deleted only if all are. Empty tables give empty results.
 """
@@ -30,18 +30,24 @@ from veinstone.session import salted_left_join, shared_dir
 
 REFERENCE = ["source_table", "ref_field", "id"]
 ORPHANS = ("missing", "deleted", "late")
+#: States by their number in the log.
+STATES = ("none", "resolved", *ORPHANS)
 #: Buckets of the keys. A step that brings few keys reads few of them.
 BUCKETS = 64
+#: Tasks over which the rows of one bucket are spread when they are written.
+SPREAD = 4
 
 _INDEX = "target string, key long, deleted boolean, created timestamp_ntz, step int, bucket int"
-_REFS = "source_table string, ref_field string, id long, target string, key long, time timestamp_ntz, state string, delivered int, step int, bucket int"
+_REFS = "source_table string, ref_field string, id long, target string, key long, time timestamp_ntz, state tinyint, delivered int, step int, bucket int"
 _SNAPSHOT = "source_table string, ref_field string, period string, kind string, orphans long, step int"
 
 
 def references(df: DataFrame, source_table: str, ref_field: str, target: str, key: str = "id", time: str = "create_time") -> DataFrame:
     """References of one field. ``target`` names the table of parents that the field refers to. Rows without an id are none."""
     rows = df.select(F.lit(source_table).alias("source_table"), F.lit(ref_field).alias("ref_field"), F.col(key).cast("long").alias("id"), F.lit(target).alias("target"), F.col(ref_field).cast("long").alias("key"), F.col(time).cast("timestamp_ntz").alias("time"))
-    return rows.where("id IS NOT NULL").groupBy(*REFERENCE, "target").agg(F.max(F.struct("time", "key")).alias("x")).select(*REFERENCE, "target", "x.key", "x.time")
+    # Time and a hash of the key in one number: a hash aggregate does, no sort.
+    order = F.coalesce(F.unix_micros(F.col("time").cast("timestamp")), F.lit(-(1 << 50))) * 2048 + F.pmod(F.xxhash64("key"), F.lit(2048))
+    return rows.where("id IS NOT NULL").withColumn("o", order).groupBy(*REFERENCE, "target").agg(F.max_by("key", "o").alias("key"), F.max_by("time", "o").alias("time"))
 
 
 def parents(df: DataFrame, target: str, key: str = "id", deleted: str | None = None, created: str = "create_time") -> DataFrame:
@@ -56,14 +62,20 @@ def _bucket():
 
 
 def _state():
-    return F.when(F.col("key").isNull(), "none").when(F.col("_there").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("created") > F.col("time"), "late").otherwise("resolved")
+    number = F.when(F.col("key").isNull(), 0).when(F.col("_there").isNull(), 2).when(F.col("deleted"), 3).when(F.col("created") > F.col("time"), 4).otherwise(1)
+    return number.cast("tinyint")
 
 
 def judge(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """The references with ``state`` by the index, one row a (target, key)."""
-    keyed = refs.withColumn("_k", F.when(F.col("key").isNotNull(), F.struct("target", "key")))
-    known = index.select(F.struct("target", "key").alias("_k"), "deleted", "created", F.lit(True).alias("_there"))
-    return salted_left_join(keyed, known, "_k", "id").withColumn("state", _state()).drop("_k", "deleted", "created", "_there")
+    """The references with the number of their ``state`` by the index, one row a (target, key)."""
+    known = index.select("target", "key", "deleted", "created", F.lit(True).alias("_there"))
+    return salted_left_join(refs, known, ["target", "key"], "id").withColumn("state", _state()).drop("deleted", "created", "_there")
+
+
+def _packed():
+    """What counts of a version, in one number whose greatest is the newest version: delivery, step, month of the reference, state."""
+    month = F.coalesce(F.year("time") * 12 + F.month("time"), F.lit(0))
+    return F.shiftleft(F.col("delivered").cast("long"), 44) + F.shiftleft(F.col("step").cast("long"), 24) + F.shiftleft(month.cast("long"), 8) + F.col("state")
 
 
 @dataclass
@@ -92,7 +104,7 @@ class Ledger:
 
     def _append(self, name: str, step: int, rows: DataFrame) -> None:
         """The rows of a step, in folders by bucket. A step that failed half way is written anew as a whole."""
-        spread = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(8)))
+        spread = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.col("id" if "id" in rows.columns else "key")), F.lit(SPREAD)))
         spread.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.at}/{name}/step={step}")
 
     @staticmethod
@@ -112,10 +124,10 @@ class Ledger:
         if self.steps and changed:
             # What waits for the arrived keys, or rested on them, is judged again; what comes out as before is not written.
             keys = arrived.select("target", "key", "deleted", "created", F.lit(True).alias("_there"))
-            before = self._read("refs", _REFS, changed).groupBy(*REFERENCE, "target", "key", "delivered").agg(F.max_by(F.struct("time", "state"), "step").alias("x"), F.max("bucket").alias("bucket"))
-            before = before.select(*REFERENCE, "target", "key", "delivered", "bucket", "x.time", F.col("x.state").alias("was")).withColumn("_k", F.struct("target", "key"))
-            touched = salted_left_join(before, keys.select(F.struct("target", "key").alias("_k"), "deleted", "created", "_there"), "_k", "id").where("_there")
-            again = touched.withColumn("state", _state()).where("state <> was")
+            versions = self._read("refs", _REFS, changed)
+            touched = salted_left_join(versions, keys, ["target", "key"], "id").where("_there")
+            newest = touched.groupBy(*REFERENCE, "target", "key", "delivered", "time", "deleted", "created", "_there").agg((F.max(F.col("step") * 8 + F.col("state")) % 8).alias("was"), F.max("bucket").alias("bucket"))
+            again = newest.withColumn("state", _state()).where("state <> was")
             out = out.unionByName(again.select(out.columns))
         self._append("refs", k, out)
         return now.take_snapshot() if snapshot else now
@@ -126,9 +138,12 @@ class Ledger:
         return replace(self, snapshots=(*self.snapshots, self.steps))
 
     def latest(self) -> DataFrame:
-        """Each reference in its newest version with its state now."""
-        rows = self._read("refs", _REFS).groupBy(*REFERENCE).agg(F.max(F.struct("delivered", "step", "target", "key", "time", "state")).alias("x"))
-        return rows.select(*REFERENCE, "x.target", "x.key", "x.time", "x.state")
+        """(reference, state, period) of each reference in its newest version. All of it is in one number, so that a hash aggregate does."""
+        rows = self._read("refs", _REFS).groupBy(*REFERENCE).agg(F.max(_packed()).alias("x"))
+        month = F.shiftright("x", 8).bitwiseAND(F.lit(0xFFFF))
+        period = F.when(month > 0, F.format_string("%04d-%02d", F.floor((month - 1) / 12), (month - 1) % 12 + 1))
+        state = F.element_at(F.array(*[F.lit(x) for x in STATES]), (F.col("x").bitwiseAND(F.lit(0xFF)) + 1).cast("int"))
+        return rows.select(*REFERENCE, state.alias("state"), period.alias("period"))
 
     def orphans(self) -> DataFrame:
         """(source_table, ref_field, id, kind) of all references that are orphans now."""
@@ -136,8 +151,7 @@ class Ledger:
 
     def counts(self) -> DataFrame:
         """Orphans by table, field, month of the reference (null is a period of its own) and kind, now."""
-        month = F.date_format("time", "yyyy-MM")
-        return self.latest().where(F.col("state").isin(*ORPHANS)).groupBy("source_table", "ref_field", month.alias("period"), F.col("state").alias("kind")).agg(F.count("*").alias("orphans"))
+        return self.latest().where(F.col("state").isin(*ORPHANS)).groupBy("source_table", "ref_field", "period", F.col("state").alias("kind")).agg(F.count("*").alias("orphans"))
 
     def history(self) -> DataFrame:
         """The snapshots taken, each with its step."""

@@ -64,29 +64,36 @@ def size_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def heavy_keys(df: DataFrame, on: str, share: float = HEAVY) -> tuple[list[int], int]:
+def _hash(on: list[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in on])
+
+
+def heavy_keys(df: DataFrame, on: str | list[str], share: float = HEAVY) -> tuple[list[int], int]:
     """Hashes of the keys that hold at least ``share`` of the rows, and a number of salts that makes their parts light.
 
-    A frequent-items sketch of fixed size looks for them: one pass over one column, combined before it reaches the driver,
+    A frequent-items sketch of fixed size looks for them: one pass over the key, combined before it reaches the driver,
     to which at most 1/share numbers come. A key of nearly that share may be among them, which does no harm.
     """
+    on = [on] if isinstance(on, str) else on
     most = int(1 / share)
-    found = df.where(F.col(on).isNotNull()).agg(F.expr(f"approx_top_k(xxhash64(`{on}`), {most}, {SKETCH})").alias("top"), F.count("*").alias("n")).first()
+    keyed = df.dropna(subset=on).select(_hash(on).alias("h"))
+    found = keyed.agg(F.expr(f"approx_top_k(h, {most}, {SKETCH})").alias("top"), F.count("*").alias("n")).first()
     heavy = [x for x in found["top"] or [] if x["count"] >= share * found["n"]] if found["n"] > SKETCH else []
     largest = max((x["count"] / found["n"] for x in heavy), default=0.0)
     return [x["item"] for x in heavy], max(1, min(1024, round(largest / share)))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: str, row_key: str) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, on: str | list[str], row_key: str) -> DataFrame:
     """Left join whose left side may hold any share of its rows under one key.
 
     ``right`` has one row per key. Only keys that a sketch of the left side finds heavy are spread, by ``row_key``, and only
     their rows are repeated on the right; without such a key, or if the left side is small, this is a plain join. Rows whose key is null match nothing.
     """
+    on = [on] if isinstance(on, str) else on
     heavy, salts = heavy_keys(left, on) if size_of(left) >= SMALL else ([], 1)
     if not heavy:
         return left.join(right, on, "left")
-    hot = F.xxhash64(F.col(on)).isin(heavy)
+    hot = _hash(on).isin(heavy)
     spread = F.when(hot, F.pmod(F.xxhash64(F.col(row_key)), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     many = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.withColumn("_salt", spread).join(many, [on, "_salt"], "left").drop("_salt")
+    return left.withColumn("_salt", spread).join(many, [*on, "_salt"], "left").drop("_salt")
