@@ -50,3 +50,20 @@ def test_frames(spark):
     assert sorted((r["id"], r["piece_no"], len(r["piece"])) for r in S.split_texts(df, "id", "content").collect()) == [(1, 1, 1300), (1, 2, 1300)]
     assert sorted((r["id"], r["piece_no"]) for r in S.split_paths(df, "id", "path").collect()) == [(1, 1), (1, 2)]
     assert S.split_texts(df.where("id < 0"), "id", "content").count() == 0
+
+
+def test_pieces_are_added_until_each_cut_has_a_boundary():
+    """Boundaries only at every 1,150 characters: the least number of pieces can't use them, one more than two can."""
+    part = "x" * 1149 + "\n"
+    text = part * 9
+    pieces = S.split_text(text, 2000, 100)
+    assert all(b - a <= 2000 for a, b, _ in pieces) and {s for _, _, s in pieces[1:]} == {"line"}
+    assert len(pieces) == 9
+
+
+def test_no_boundary_at_all_takes_little_time():
+    import time
+
+    began = time.time()
+    pieces = S.split_text("x" * 2_000_000, 2000, 100)
+    assert len(pieces) == 1053 and time.time() - began < 20
