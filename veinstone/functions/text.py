@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of plain letters, digits and underscores: the same in every regex dialect.
-WORD = "[a-z0-9_]+"
+#: Words of Latin letters (with those of western languages), digits and underscores, or runs of two ideographs or more: the same in every regex dialect.
+WORD = "[a-z0-9_ß-öø-ÿ]+|[一-鿿]{2,}"
 
 
 def words(c: Column) -> Column:
-    """Lower-case words of a text, in order; null for null."""
-    return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1)
+    """Lower-case words of a text, in order; null for null.
+
+    Runs of ideographs have no spaces: they give every two that stand side by side, so that a word is found wherever it stands.
+    """
+    runs = F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1)
+    two = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda x: F.when(x >= F.lit("一"), two(x)).otherwise(F.array(x))))
+
+
+def words_sql(text: str) -> str:
+    """The same in SQL."""
+    return f"flatten(list_transform(regexp_extract_all(lower({text}), '{WORD}'), lambda x: CASE WHEN x >= '一' THEN list_transform(range(1, length(x)), lambda i: x[i:i + 1]) ELSE [x] END))"
 
 
 def mixed_tokens(c: Column) -> Column:

@@ -130,10 +130,11 @@ def per_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[st
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line, offset): lines of each text with the offset of their first character."""
+    # The offsets are carried along in one pass over the lines of a text.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    offsets = F.aggregate("l", begin, lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
     cut = df.where(F.col(text).isNotNull()).select(key, F.split(text, "\n").alias("l"))
-    rows = cut.select(key, F.posexplode("l").alias("line_no", "line"), "l")
-    before = F.aggregate(F.slice("l", 1, F.col("line_no")), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    return rows.select(key, "line_no", "line", before.alias("offset"))
+    return cut.select(key, F.posexplode(F.arrays_zip(F.col("l").alias("line"), offsets.alias("offset"))).alias("line_no", "x")).select(key, "line_no", "x.line", "x.offset")
 
 
 def headings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -151,17 +152,53 @@ def heading_sessions(df: DataFrame, key: str, text: str) -> DataFrame:
     return l.withColumn("section", F.sum(F.col("line").rlike(HEADING).cast("int")).over(order))
 
 
+def nest(levels: list[int]) -> list[tuple[int | None, int | None]]:
+    """For headings in order: (the next one of its level or above, the last one before of a lower level), as positions. One pass with a stack."""
+    ends: list[int | None] = [None] * len(levels)
+    parents: list[int | None] = []
+    open_: list[int] = []
+    for i, level in enumerate(levels):
+        while open_ and levels[open_[-1]] >= level:
+            ends[open_.pop()] = i
+        parents.append(open_[-1] if open_ else None)
+        open_.append(i)
+    return list(zip(ends, parents))
+
+
 def section_bounds(h: DataFrame, key: str) -> DataFrame:
     """End and parent of each heading: the next one of its level or above, the last one before of a lower level.
 
-    Headings of one document are compared, each only with those after it: an equi-join on the document.
+    The headings of one document stand together and are gone through once.
     """
-    a = h.select(key, "line_no", "level")
-    b = a.select(key, F.col("line_no").alias("other"), F.col("level").alias("other_level"))
-    pairs = a.join(b, key, "left")
-    end = F.min(F.when((F.col("other") > F.col("line_no")) & (F.col("other_level") <= F.col("level")), F.col("other")))
-    parent = F.max(F.when((F.col("other") < F.col("line_no")) & (F.col("other_level") < F.col("level")), F.col("other")))
-    return pairs.groupBy(key, "line_no", "level").agg(end.alias("end_line"), parent.alias("parent_line"))
+    kind = h.schema[key].dataType.simpleString()
+    ordered = h.select(F.col(key).alias("k"), "line_no", "level").repartition("k").sortWithinPartitions("k", "line_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(k, rows):
+            at = [r[0] for r in rows]
+            found = nest([r[1] for r in rows])
+            return [(k, n, v, None if e is None else at[e], None if p is None else at[p]) for (n, v), (e, p) in zip(rows, found)]
+
+        current, rows, out = None, [], []
+        for b in batches:
+            for k, n, v in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if k != current and rows:
+                    out += done(current, rows)
+                    rows = []
+                current = k
+                rows.append((n, v))
+            if len(out) > 50_000:
+                yield batch(out, b.schema.field(0).type)
+                out = []
+        if rows:
+            out += done(current, rows)
+            yield batch(out, pa.array([r[0] for r in out]).type)
+
+    def batch(rows, type_) -> pa.RecordBatch:
+        types = (type_, pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["k", "line_no", "level", "end_line", "parent_line"])
+
+    return ordered.mapInArrow(run, f"k {kind}, line_no int, level int, end_line int, parent_line int").withColumnRenamed("k", key)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int) -> DataFrame:

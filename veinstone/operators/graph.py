@@ -103,7 +103,8 @@ def communities_in_components(edges: DataFrame, component: str, rounds: int = 20
         for s, d, w in zip(rows.src, rows.dst, rows.weight):
             for a, b in ((s, d), (d, s)):
                 graph.setdefault(a, {})
-                graph[a][b] = graph[a].get(b, 0.0) + w
+                if a != b:  # a loop has no vote
+                    graph[a][b] = graph[a].get(b, 0.0) + max(0.05, w)
         found = propagate(graph, rounds)
         yield pd.DataFrame({"node": list(found), "label": list(found.values())})
 
@@ -119,16 +120,18 @@ def in_place_labels(edges: DataFrame, component: str, rounds: int = 20, floor: f
     Within a round a node takes into account the new labels of neighbours of smaller names and the old ones of the others.
     So new labels are computed anew from each other until none moves: each depends on smaller names only, which makes the result the only one.
     """
-    ends = symmetric(edges.select(F.struct(component, "src").alias("src"), F.struct(component, F.col("dst").alias("src")).alias("dst"), "weight"))
-    e = cut(ends.groupBy("src", "dst").agg(F.greatest(F.lit(floor), F.sum("weight")).alias("weight")), "edges")
-    state = e.select(F.col("src").alias("node")).distinct().select("node", F.col("node.src").alias("old"), F.col("node.src").alias("new"))
+    edges = edges.withColumn("weight", F.greatest(F.lit(floor), F.col("weight")))
+    alone = edges.select(F.explode(F.array(F.struct(component, "src"), F.struct(component, F.col("dst").alias("src")))).alias("node")).distinct()
+    ends = symmetric(edges.where("src <> dst").select(F.struct(component, "src").alias("src"), F.struct(component, F.col("dst").alias("src")).alias("dst"), "weight"))
+    e = cut(ends.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
+    state = alone.select("node", F.col("node.src").alias("old"), F.col("node.src").alias("new"))
     for _ in range(rounds):
         moved = 1
         while moved:
             seen = salted_left_join(e, state.withColumnRenamed("node", "dst"), "dst", "src").withColumn("label", F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("old")))
             votes = seen.groupBy("src", "label").agg(F.sum("weight").alias("w"))
             best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.round("w", 9), "label"))["label"].alias("best"))
-            state = cut(state.join(best, "node").select("node", "old", F.col("best").alias("new"), (F.col("best") != F.col("new")).alias("moved")), "labels")
+            state = cut(state.join(best, "node", "left").select("node", "old", F.coalesce("best", "new").alias("new"), (F.coalesce("best", "new") != F.col("new")).alias("moved")), "labels")
             moved = state.where("moved").limit(1).count()
             state = state.drop("moved")
         changed = state.where("old <> new").limit(1).count()

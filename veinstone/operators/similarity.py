@@ -97,7 +97,7 @@ def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: f
 
 
 def align(quote: str, text: str) -> tuple[str, int, int]:
-    """(state, begin, end) of a quote in a text: exact, without white space, by common subsequence of blocks, or failed."""
+    """(state, begin, end) of a quote in a text: exact, without white space, by a common subsequence (up to 1.5 million pairs of characters), by matching blocks, or failed."""
     if not quote or not text:
         return "failed", -1, -1
     if (at := text.find(quote)) >= 0:
@@ -108,17 +108,42 @@ def align(quote: str, text: str) -> tuple[str, int, int]:
         compact = "".join(text[i] for i in where)
     if wanted and (at := compact.find(wanted)) >= 0:
         return "compact", where[at], where[at + len(wanted) - 1] + 1
-    if len(compact) * len(wanted) > 1_500_000 or not wanted:
+    if not wanted:
         return "failed", -1, -1
+    if len(compact) * len(wanted) <= 1_500_000 and (places := common_subsequence(compact, wanted)):
+        span = places[-1] - places[0] + 1
+        if len(places) / len(wanted) >= 0.75 and len(places) / span >= 0.33:
+            return "subsequence", where[places[0]], where[places[-1]] + 1
     blocks = [m for m in difflib.SequenceMatcher(None, compact, wanted, autojunk=False).get_matching_blocks() if m.size > 1]
     if not blocks:
         return "failed", -1, -1
     covered, span = sum(m.size for m in blocks), blocks[-1].a + blocks[-1].size - blocks[0].a
-    if covered / len(wanted) >= 0.75 and covered / span >= 0.33:
+    if covered / len(wanted) >= 0.85 and covered / span >= 0.65:
         return "blocks", where[blocks[0].a], where[blocks[-1].a + blocks[-1].size - 1] + 1
     return "failed", -1, -1
 
 
+def common_subsequence(text: str, wanted: str) -> list[int]:
+    """Places in the text of a longest common subsequence. Row by row: a row is the running maximum over the row before."""
+    t, w = np.array([ord(c) for c in text], np.uint32), [ord(c) for c in wanted]
+    rows = [np.zeros(len(t) + 1, np.int16)]
+    for c in w:
+        up = rows[-1]
+        row = up.copy()
+        row[1:] = np.maximum(up[1:], up[:-1] + (t == c))
+        rows.append(np.maximum.accumulate(row))
+    out, i, j = [], len(w), len(t)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(j)
+    return out[::-1]
+
+
 def align_quotes(pairs: DataFrame, key: str, quote: str, text: str) -> DataFrame:
     """(key, state, begin, end). The exact stage is built in; only what it leaves goes through Python."""
     at = F.expr(f"instr(`{text}`, `{quote}`)")
@@ -142,36 +167,52 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def search_exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 512) -> DataFrame:
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 64 << 20
+
+
+def search_exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int | None = None) -> DataFrame:
     """(query, id, score, place): the k best of all vectors for each query, by exact cosine.
 
-    The queries are a stated set. They are cut into blocks of bounded size, all vectors pass each block once, and
-    a task keeps the k best of each query, so that k rows a query and task are shuffled.
+    The queries are a stated set. They come in blocks of bounded size (``QUERY_BYTES``, or ``block`` queries), each broadcast as one matrix that
+    all vectors pass; a task keeps the k best of each query, so that k rows a query and task are shuffled. Rows without a
+    vector, or with one of another length than the queries', are neither.
     """
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv")).withColumn("b", F.floor((F.row_number().over(Window.orderBy("q")) - 1) / block).cast("int"))
-    packed = q.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("q", "qv"))).alias("qs"))
-    source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).crossJoin(F.broadcast(packed))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
-        for batch in batches:
-            blocks = batch.column(batch.schema.get_field_index("b")).to_numpy()
-            ids = batch.column(0).to_numpy()
-            v = np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, 1))
-            for one in np.unique(blocks):
-                rows = np.flatnonzero(blocks == one)
-                qs = batch.column(3)[int(rows[0])].as_py()
-                m = np.array([x["qv"] for x in qs], np.float64)
+    spark = vectors.sparkSession
+    q = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q IS NOT NULL AND size(v) > 0")
+    stats = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    dim = stats["dim"] or 0
+    per = block or max(1, QUERY_BYTES // max(1, 8 * dim))
+    blocks = max(1, -(-stats["n"] // per))
+    source = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dim)
+    found = None
+    for b in range(blocks):
+        one = q.where(F.size("v") == dim).where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").toPandas()
+        if not len(one):
+            continue
+        m = np.array(one["v"].to_list(), np.float64)
+        shared = spark.sparkContext.broadcast((one["q"].to_numpy(np.int64), m, np.linalg.norm(m, axis=1)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, m, norms = shared.value
+            best: list[list[tuple[float, int]]] = [[] for _ in asked]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(0).to_numpy()
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (m @ v[rows].T) / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(v[rows], axis=1)
-                s = np.nan_to_num(s, nan=-2.0)
-                for x, scores in zip(qs, s):
-                    take = np.lexsort((ids[rows], -scores.round(6)))[: k + 1]
-                    own = best.get(x["q"], []) + [(-round(float(scores[j]), 6), int(ids[rows[j]])) for j in take if ids[rows[j]] != x["q"]]
-                    best[x["q"]] = sorted(own)[:k]
-        flat = [(q, i, -s) for q, found in best.items() for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "id", "score"])
-
-    found = source.select("id", "v", "b", "qs").mapInArrow(run, "query long, id long, score double")
+                    s = np.nan_to_num((m @ v.T) / norms[:, None] / np.linalg.norm(v, axis=1), nan=-2.0).round(6)
+                for i, scores in enumerate(s):
+                    few = np.flatnonzero(scores >= np.partition(scores, max(0, len(scores) - k - 1))[max(0, len(scores) - k - 1)])
+                    own = best[i] + [(-float(scores[j]), int(ids[j])) for j in few if ids[j] != asked[i]]
+                    best[i] = sorted(own)[:k]
+            flat = [(int(a), i, -s) for a, own in zip(asked, best) for s, i in own]
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "id", "score"])
+
+        part = source.mapInArrow(run, "query long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query long, id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

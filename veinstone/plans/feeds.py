@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.sources.tables import table
@@ -42,16 +42,28 @@ def queue_depth(spark, sf):
     return d.groupBy("user_id").agg(F.max("depth").alias("highest"))
 
 
-def duration_percentiles(spark, sf):
-    """p50, p95 and p99 of the values of each type by nearest rank: the value at floor(p (n - 1)).
+def nearest_rank(df: DataFrame, by: str, value: str, points: dict[str, float], cells: int = 4096) -> DataFrame:
+    """(by, points..., n): exact percentiles by nearest rank, of groups of any size.
 
-    Values are counted first, so that a type of any size comes down to its distinct values before anything is ordered.
+    A histogram of ``cells`` equal cells a group tells in which cell each rank lies; only those cells are ordered.
     """
-    v = _events(spark, sf).where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("event_type").orderBy("value")
-    r = v.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col("value")))
-    return r.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("n").alias("n"))
+    v = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    ends = v.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells))).otherwise(0).cast("int")
+    placed = v.join(F.broadcast(ends), by).withColumn("cell", cell)  # one row a group
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("cell"))
+    histogram = placed.groupBy(by, "cell").agg(F.count("*").alias("c")).withColumn("before", upto - F.col("c")).join(ends.select(by, "n"), by)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("point"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("rank")) for name, p in points.items()])).alias("x")
+    asked = histogram.select(by, "cell", "c", "before", wanted).select(by, "cell", "before", "x.*", "c").where("rank >= before AND rank < before + c").drop("c")
+    inside = placed.join(asked.select(by, "cell").distinct(), [by, "cell"], "left_semi").groupBy(by, "cell", "v").agg(F.count("*").alias("m"))
+    ordered = inside.withColumn("upto", F.sum("m").over(Window.partitionBy(by, "cell").orderBy("v")))
+    found = ordered.join(asked, [by, "cell"]).where("before + upto > rank").groupBy(by, "point").agg(F.min("v").alias("v"))
+    return found.groupBy(by).pivot("point", list(points)).agg(F.first("v")).join(ends.select(by, "n"), by)
+
+
+def duration_percentiles(spark, sf):
+    """p50, p95 and p99 of the values of each type by nearest rank: the value at floor(p (n - 1))."""
+    return nearest_rank(_events(spark, sf), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def task_page(spark, sf):

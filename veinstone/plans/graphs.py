@@ -113,14 +113,14 @@ def label_propagation(spark, sf):
 
 
 def community_density(spark, sf):
-    """Size and density of the communities of one synchronous round; as in its SQL, without file 880001."""
-    e = _section_edges(spark, sf).where("component <> 880001")
+    """Size and density of the communities of one synchronous round."""
+    e = _section_edges(spark, sf)
     return G.density(e, G.synchronous_labels(e, 1))
 
 
 def synchronous_round(spark, sf):
-    """Labels of sections after one synchronous round; as in its SQL, without file 880001."""
-    return G.synchronous_labels(_section_edges(spark, sf).where("component <> 880001"), 1)
+    """Labels of sections after one synchronous round."""
+    return G.synchronous_labels(_section_edges(spark, sf), 1)
 
 
 _E = """s AS (SELECT DISTINCT section_id, file_node_id, parent_section_id FROM kb_section),
@@ -132,7 +132,7 @@ _E = """s AS (SELECT DISTINCT section_id, file_node_id, parent_section_id FROM k
     y AS (SELECT src, dst, type, weight FROM e UNION ALL SELECT dst, src, type, weight FROM e),
     n AS (SELECT DISTINCT 'f:' || file_node_id AS node, 'f' AS type FROM kb_chunk WHERE file_node_id IS NOT NULL UNION ALL SELECT DISTINCT 's:' || section_id, 's' FROM kb_section
       UNION ALL SELECT 'c:' || id, 'c' FROM kb_chunk UNION ALL SELECT DISTINCT 'a:' || anchor_id, 'a' FROM kb_anchor_registry WHERE anchor_id IS NOT NULL)"""
-_SE = "se AS (SELECT DISTINCT section_id AS src, parent_section_id AS dst FROM kb_section WHERE file_node_id <> 880001 AND parent_section_id IN (SELECT section_id FROM kb_section)), sy AS (SELECT * FROM se UNION ALL SELECT dst, src FROM se), v AS (SELECT src, dst AS label, count(*) AS w FROM sy GROUP BY ALL), lab AS (SELECT src AS node, label FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, label) = 1)"
+_SE = "se AS (SELECT DISTINCT section_id AS src, parent_section_id AS dst FROM kb_section WHERE parent_section_id IN (SELECT section_id FROM kb_section)), sy AS (SELECT * FROM se UNION ALL SELECT dst, src FROM se), v AS (SELECT src, dst AS label, count(*) AS w FROM sy GROUP BY ALL), lab AS (SELECT src AS node, label FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, label) = 1)"
 
 CATALOGUE = {
     "graph_stats": (graph_stats, f"WITH {_E} SELECT type, count(*) AS n, round(avg(weight), 6) AS weight FROM e GROUP BY type"),

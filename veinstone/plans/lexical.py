@@ -9,16 +9,17 @@ from veinstone.functions import text as T
 from veinstone.operators import ranking
 from veinstone.sources.tables import table
 
-QUERY = {"guarantee": 1.0, "collateral": 1.0, "branch": 1.0, "section": 0.5}
-EXPANSION = {"undertaking": 1.0, "sicherheit": 1.0}
-TITLE = {"collateral": 1.0, "release": 1.0, "sicherheiten": 1.0, "early": 1.0, "repayment": 1.0}
+QUERY = {"guarantee": 1.0, "collateral": 1.0, "branch": 1.0, "section": 0.5, "担保": 1.0, "抵押": 1.0, "bürgschaft": 1.0}
+EXPANSION = {"undertaking": 1.0, "sicherheit": 1.0, "保函": 1.0}
+TITLE = {"collateral": 1.0, "release": 1.0, "sicherheiten": 1.0, "early": 1.0, "repayment": 1.0, "审批": 1.0, "für": 0.5}
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents", "doc_id", "text", "source")
 
 
-_D = "d AS (SELECT doc_id, text, source, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL)"
+_D = f"d AS (SELECT doc_id, text, source, {T.words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)"
+_TITLE_WORDS = T.words_sql(r"regexp_extract(text, '^([^\n]*)', 1)")
 _P = f"{_D}, p AS (SELECT DISTINCT doc_id, unnest(w) AS token FROM d)"
 
 
@@ -85,7 +86,7 @@ def _routes(spark, sf, k: int = 50) -> DataFrame:
 
 
 _ROUTES = f"""{_P}, {_l5(QUERY, 's1')},
-    d2 AS (SELECT doc_id, regexp_extract_all(lower(regexp_extract(text, '^([^\\n]*)', 1)), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL),
+    d2 AS (SELECT doc_id, {_TITLE_WORDS} AS w FROM documents WHERE text IS NOT NULL),
     p2 AS (SELECT DISTINCT doc_id, unnest(w) AS token FROM d2),
     {_l5(TITLE, 's2').replace('FROM p JOIN', 'FROM p2 JOIN').replace('FROM p GROUP', 'FROM p2 GROUP').replace('FROM d)', 'FROM d2)')},
     both_ AS (SELECT 'text' AS route, doc_id, round(score, 6) AS score FROM s1 UNION ALL SELECT 'title', doc_id, round(score, 6) FROM s2),
@@ -164,8 +165,8 @@ def candidate_merge(spark, sf):
 
 
 def keyword_top5(spark, sf):
-    """The five most frequent words of three letters or more of each document, by frequency and word."""
-    w = _documents(spark, sf).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    """The five most frequent words (three letters or more, or runs of ideographs) of each document, by frequency and word."""
+    w = _documents(spark, sf).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zß-öø-ÿ]{3,}|[一-鿿]{2,})"), 1)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
     return w.withColumn("place", F.row_number().over(order)).where("place <= 5")
 
@@ -211,7 +212,7 @@ CATALOGUE = {
     ),
     "lexical_multifield": (
         lexical_multifield,
-        f"""WITH {_P}, p2 AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(regexp_extract(text, '^([^\\n]*)', 1)), '[a-z0-9_]+')) AS token FROM documents),
+        f"""WITH {_P}, p2 AS (SELECT DISTINCT doc_id, unnest({_TITLE_WORDS}) AS token FROM documents),
         x AS (SELECT doc_id, token, boost FROM p JOIN {_values(QUERY)} USING (token) UNION ALL SELECT doc_id, token, 3 * boost FROM p2 JOIN {_values(QUERY)} USING (token))
         SELECT doc_id, round(sum(b), 6) AS score FROM (SELECT doc_id, token, max(boost) AS b FROM x GROUP BY ALL) GROUP BY doc_id""",
     ),
@@ -239,7 +240,7 @@ CATALOGUE = {
     ),
     "keyword_top5": (
         keyword_top5,
-        "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM c) WHERE place <= 5",
+        "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zß-öø-ÿ]{3,}|[一-鿿]{2,}')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM c) WHERE place <= 5",
     ),
     "keyword_score": (
         keyword_score,
