@@ -53,3 +53,11 @@ def test_pairs(spark):
     assert L.equal_looking(df.where("id < 0"), "id", "t", ["file"]).count() == 0
     forms = {r["id"]: r["form"] for r in L.one_form(df.drop("form"), "t").collect()}
     assert forms[2] == "Bid bond KN-1" and forms[5] is None and forms[6] == ""
+
+
+def test_a_large_class_is_spread_and_gives_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(L, "SPREAD", 10)
+    rows = [(i, 1, "Bond" if i % 2 else "Bоnd", "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g int, t string, salt string")
+    got = {tuple(r) for r in L.equal_looking(df, "id", "t", ["g"]).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if (i - j) % 2}

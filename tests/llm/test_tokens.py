@@ -57,3 +57,35 @@ def test_frame(spark, reference, monkeypatch):
     assert {r["k"]: r["n"] for r in counts} == {k: len(i) for k, i in got}
     assert T.encode_corpus(df.where("k < 0"), "k", "t").count() == 0
     assert T.count_tokens(df.select("t"), "t", "n").agg(F.sum("n")).first()[0] == sum(len(i) for _, i in got)
+
+
+def test_merging_of_a_long_slice_takes_little_time():
+    import time
+
+    piece = ("abcdefgh" * 12_500).encode()
+    began = time.time()
+    ids = T.merge(piece, plain.ranks)
+    assert time.time() - began < 10 and b"".join(k for i in ids for k in [plain.decode([i]).encode()]) == piece
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=40))
+def test_merging_joins_the_lowest_rank_first(piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((plain.ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+        if rank == 1 << 30:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    assert T.merge(piece, plain.ranks) == [plain.ranks[p] for p in parts]
+
+
+def test_ends_lead_back_to_the_text(spark):
+    texts = {1: "It's 3 naïve 中文 texts.", 2: "", 3: None, 4: "a"}
+    df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, ends int")
+    for r in T.encode_with_ends(df, "doc_id", "text").collect():
+        data, begin = (texts[r["doc_id"]] or "").encode(), 0
+        for i, end in zip(r["ids"], r["ends"]):
+            assert own.encode_slice(data[begin:end]) is not None and plain._merge(data[begin:end]) == [i]
+            begin = end
+        assert begin == len(data) and len(r["ids"]) == len(r["ends"])

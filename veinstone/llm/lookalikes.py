@@ -42,6 +42,8 @@ RADICALS["⻳"] = "龟"
 IDEOGRAPHS = dict(zip("戶戸靑黃內吿淸說兌銳悅稅脫", "户户青黄内告清説兑鋭悦税脱"))
 
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian")
+#: Members of one class of look-alikes that a task takes on.
+SPREAD = 1000
 #: Log charge for a change of script within a token.
 CHANGE = 12.0
 #: Code points below this one are counted by script; all letters of the look-alike scripts lie there.
@@ -236,7 +238,7 @@ def equal_looking(df: DataFrame, key: str, text: str, within: list[str | Column]
     """(id_a, id_b), id_a < id_b: rows of the same ``within`` whose texts read the same and differ in their characters.
 
     What is shuffled per row are two hashes of 128 bits, not the text. Only groups with two different texts of one
-    form go into the join, whose key holds the form, so that a large group by itself does no harm.
+    form go into the join; a large one is spread by the row.
     """
     model = model or train(df.select(text))
     rows = df.select(F.col(key).alias("id"), *[(F.col(c) if isinstance(c, str) else c).alias(f"g{i}") for i, c in enumerate(within)], F.col(text).alias("t")).where("t IS NOT NULL")
@@ -251,7 +253,9 @@ def equal_looking(df: DataFrame, key: str, text: str, within: list[str | Column]
     hashed = _map_text(rows, "t", model, "form binary, raw binary", make)
     by = [f"g{i}" for i in range(len(within))] + ["form"]
     hashed = cut(hashed.dropna(subset=by[:-1]).distinct() if within else hashed.distinct(), "forms")
-    several = hashed.groupBy(*by).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select(*by)
-    kept = hashed.join(several, by, "left_semi")
-    a, b = (kept.select(*by, F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    return a.join(b, by).where("id_a < id_b AND raw_a <> raw_b").select("id_a", "id_b").distinct()
+    # A class of many members is spread over as many tasks as it has thousands: its pairs are the result, but no single task makes them all.
+    several = hashed.groupBy(*by).agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).where("low <> high").drop("low", "high")
+    kept = hashed.join(several, by)
+    a = kept.select(*by, F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
+    b = kept.select(*by, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
+    return a.join(b, [*by, "salt"]).where("id_a < id_b AND raw_a <> raw_b").select("id_a", "id_b").distinct()

@@ -50,8 +50,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """The one form of each anchor name."""
-    return lookalikes.one_form(table(spark, sf, "kb_anchor_registry", "id", "anchor_name").distinct(), "anchor_name")
+    """The one form of each anchor name and of each content, under the model of both: (field, id, form)."""
+    names = table(spark, sf, "kb_anchor_registry", "id", "anchor_name").distinct()
+    contents = table(spark, sf, "kb_chunk_revision", "id", "content").distinct()
+    model = lookalikes.train(names.select("anchor_name").union(contents.select("content")))
+    one = lambda df, c: lookalikes.one_form(df, c, model).select(F.lit(c).alias("field"), "id", "form")
+    return one(names, "anchor_name").unionByName(one(contents, "content"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,6 +76,11 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p7_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each token of each document ends, in bytes of UTF-8: what decoding a part of a document needs."""
+    return tokens.encode_with_ends(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def _mix(spark: SparkSession, sf: str):
     counted = cut(tokens.count_tokens(table(spark, sf, "documents", "doc_id", "source", "text"), "text", "tokens"), "tokens")
     sources = mixing.read_sources(counted, "source", "tokens", table(spark, sf, "mix_targets"))
@@ -108,7 +117,7 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p8_mix, p8_order, p8_report, p9_found, p9_kept)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_repaired, p4_found, p4_forms, p6_found, p6_pieces, p7_ids, p7_offsets, p8_mix, p8_order, p8_report, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,7 @@ repeated; an empty table gives an empty result. Other columns are not touched.
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -124,13 +125,24 @@ def boundaries(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one slice: the adjacent pair of lowest rank is joined until none has a rank."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
-        if rank == 1 << 30:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    n = len(piece)
+    after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(pairs)  # (rank, begin, end): of equal ranks the leftmost comes first
+    while pairs:
+        rank, i, end = heapq.heappop(pairs)
+        j = after[i] if ends[i] > 0 else n
+        if ends[i] < 0 or j >= n or ends[j] != end:
+            continue  # one of its parts has been joined since
+        ends[i], ends[j] = end, -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(piece[i : ends[after[i]]])) is not None:
+                heapq.heappush(pairs, (r, i, ends[after[i]]))
+        if (k := before[i]) >= 0 and (r := ranks.get(piece[k:end])) is not None:
+            heapq.heappush(pairs, (r, k, end))
+    return [ranks[piece[i : ends[i]]] for i in range(n) if ends[i] > 0]
 
 
 class Encoder:
@@ -185,6 +197,14 @@ class Encoder:
             offsets.extend((base + counts[upto]).tolist())
         return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.asarray(offsets, np.int64)
 
+    def widths(self) -> np.ndarray:
+        """Bytes of each token, by its id."""
+        if not hasattr(self, "_widths"):
+            self._widths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            for piece, i in self.ranks.items():
+                self._widths[i] = len(piece)
+        return self._widths
+
     def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first byte, byte after the last) of each token of the text's UTF-8 bytes."""
         if not hasattr(self, "_bytes"):
@@ -222,11 +242,10 @@ def encoder(ranks_path: str) -> Encoder:
 
 def encode_corpus(df: DataFrame, key: str, text: str, ids: str = "ids", ranks_path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each text. No shuffle; rows stay where they are read."""
-    path = ranks_path or default_ranks_path()
     source = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(ranks_path or default_ranks_path())  # where the vocabularies are is known on the worker
         for b in batches:
             flat, offsets = own.encode(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
@@ -236,15 +255,32 @@ def encode_corpus(df: DataFrame, key: str, text: str, ids: str = "ids", ranks_pa
     return source.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), F.col("ids").alias(ids))
 
 
+def encode_with_ends(df: DataFrame, key: str, text: str, ranks_path: str | None = None) -> DataFrame:
+    """(key, ids, ends): the token ids of each text and the byte of its UTF-8 form after each token's last one. No shuffle."""
+    source = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(ranks_path or default_ranks_path())
+        for b in batches:
+            flat, offsets = own.encode(b.column(1).to_pylist())
+            upto = np.concatenate([[0], np.cumsum(own.widths()[flat])]) if len(flat) else np.zeros(1, np.int64)
+            # Sums begin anew with each text.
+            ends = upto[1:] - np.repeat(upto[offsets[:-1]], np.diff(offsets))
+            at = pa.array(offsets.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int64)))], ["k", "ids", "ends"])
+
+    kind = source.schema["k"].dataType.simpleString()
+    return source.mapInArrow(run, f"k {kind}, ids array<int>, ends array<bigint>").withColumnRenamed("k", key)
+
+
 def count_tokens(df: DataFrame, text: str, out: str, ranks_path: str | None = None, drop_text: bool = True) -> DataFrame:
     """The columns of df (without the text if drop_text) and ``out``: the number of tokens of the text, 0 for null."""
-    path = ranks_path or default_ranks_path()
     rest = [c for c in df.columns if c != text] if drop_text else df.columns
     # The text goes last under a name of its own, so that no column of the caller can clash with it.
     source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(ranks_path or default_ranks_path())
         for b in batches:
             _, offsets = own.encode(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(offsets))], [*b.schema.names[:-1], "n"])
