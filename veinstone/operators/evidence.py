@@ -12,7 +12,8 @@ def diversify(rows: list[tuple[int, str, str]], per_section: int, per_file: int,
     sections: dict[str, int] = {}
     files: dict[str, int] = {}
     for i, s, f in rows:
-        if len(taken) < n and sections.get(s, 0) < per_section and files.get(f, 0) < per_file:
+        # A blank section or file never blocks: it stands for none.
+        if len(taken) < n and (not s or sections.get(s, 0) < per_section) and (not f or files.get(f, 0) < per_file):
             taken.append(i)
             sections[s] = sections.get(s, 0) + 1
             files[f] = files.get(f, 0) + 1
@@ -41,9 +42,9 @@ def confidence_label(c: Column) -> Column:
     return F.when(c >= 0.8, "high").when(c >= 0.5, "medium").when(c >= 0.3, "low").otherwise("very_low")
 
 
-def retrieval_confidence(best: Column, average: Column, failed: Column, no_text: Column) -> Column:
-    """0.6 x best + 0.4 x average, times 0.6 if an alignment failed and 0.75 without text, to four places."""
-    return F.round((0.6 * best + 0.4 * average) * F.when(failed, 0.6).otherwise(1.0) * F.when(no_text, 0.75).otherwise(1.0), 4)
+def retrieval_confidence(best: Column, average: Column, failed: Column, no_text: Column, no_parent: Column, places: int = 4) -> Column:
+    """0.6 x best + 0.4 x average, times 0.6 if the best alignment failed, 0.85 without a parent context and 0.75 without text, rounded."""
+    return F.round((0.6 * best + 0.4 * average) * F.when(failed, 0.6).otherwise(1.0) * F.when(no_text, 0.75).otherwise(1.0) * F.when(no_parent, 0.85).otherwise(1.0), places)
 
 
 def field_confidence(source: Column, evidence: Column, chunk: Column, consistency: Column) -> Column:

@@ -80,13 +80,14 @@ def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: f
     the greater of Jaccard and block ratio. Pairs that share a band of the signature are compared, each once; pairs of containment
     with a length difference of up to ``longer`` are found exactly, as equal to what is left of the longer one without its ends.
     """
-    rows = df.select(*by, F.col(label).alias("l")).distinct().where((F.length("l") >= 2) & (T.entropy(F.col("l")) >= 1.2)).withColumn("s", T.shingles(F.col("l")))
-    keyed = rows.withColumn("sig", minhash(F.col("s"))).withColumn("band", F.explode(bands(F.col("sig")))).drop("sig")
-    a = keyed.select(*by, "band", F.col("l").alias("a"), F.col("s").alias("sa"))
-    b = keyed.select(*by, "band", F.col("l").alias("b"), F.col("s").alias("sb"))
+    rows = df.select(*by, F.col(label).alias("l")).distinct().where((F.length("l") >= 2) & (T.entropy(F.col("l")) >= 1.2))
+    # Only labels and bands are shuffled; shingles come from the label where they are needed.
+    keyed = rows.withColumn("sig", minhash(T.shingles(F.col("l")))).withColumn("band", F.explode(bands(F.col("sig")))).drop("sig")
+    a = keyed.select(*by, "band", F.col("l").alias("a"))
+    b = keyed.select(*by, "band", F.col("l").alias("b"))
     pairs = a.join(b, [*by, "band"]).where("a < b").dropDuplicates([*by, "a", "b"])
     contained = (F.least(F.length("a"), F.length("b")) >= 4) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(F.col("sa"), F.col("sb")), _pairwise(ratio_from(threshold - 1e-6), F.col("a"), F.col("b"))))
+    sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(T.shingles(F.col("a")), T.shingles(F.col("b"))), _pairwise(ratio_from(threshold - 1e-6), F.col("a"), F.col("b"))))
     near = pairs.select(*by, "a", "b", F.round(sim, 6).alias("similarity"))
     # The parts of a label that are shorter by 1 to ``longer`` characters and have at least four.
     cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for d in range(1, longer + 1) for i in range(d + 1)])

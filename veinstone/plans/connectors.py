@@ -38,8 +38,8 @@ def delimited_source(spark, sf):
 
 
 def text_source(spark, sf):
-    """Documents of one source as files of marked-up text, taken apart in blocks by label."""
-    d = table(spark, sf, "documents", "doc_id", "text", "source").where("source = 'pilot_notes' AND length(text) > 0").select("doc_id", "text")
+    """Documents as files of marked-up text, taken apart in blocks by label."""
+    d = table(spark, sf, "documents", "doc_id", "text", "source").where("length(text) > 0").select("doc_id", "text")
     # A row that holds the whole text of a file, as the reader of binary files gives it.
     raw = d.select(F.concat(F.lit("/in/"), "doc_id", F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content")).withColumn("kind", files.kind_of(F.col("path")))
     b = files.blocks(raw)

@@ -36,12 +36,20 @@ def field_confidence(spark, sf):
 
 
 def retrieval_confidence(spark, sf):
-    """Confidence of each section's answer from the lengths of its quotes (as scores in [0, 1]) and their alignment."""
-    e = _evidence(spark, sf, "section_id", "evidence_quote", "alignment_status").where("section_id IS NOT NULL")
-    score = F.least(F.lit(100), F.coalesce(F.length("evidence_quote"), F.lit(0)))
-    g = e.groupBy("section_id").agg((F.max(score) / 100).alias("best"), (F.sum(score) / F.count("*") / 100).alias("average"), F.coalesce(F.bool_or(F.col("alignment_status") == "failed"), F.lit(False)).alias("failed"), (F.count("evidence_quote") == 0).alias("empty"))
-    c = E.retrieval_confidence(F.col("best"), F.col("average"), F.col("failed"), F.col("empty"))
-    return g.select("section_id", c.alias("confidence"), E.confidence_label(c).alias("label"))
+    """Confidence of each section's answer from its five best groups (chunks): .6 x best + .4 x average of their scores, less if the best one's alignment failed, its section has no parent, or there is no text.
+
+    A group's score is the length of its longest quote, up to 100 characters, as a share.
+    """
+    e = _evidence(spark, sf, "section_id", "chunk_id", "evidence_quote", "alignment_status").where("section_id IS NOT NULL")
+    score = F.least(F.lit(100), F.coalesce(F.length("evidence_quote"), F.lit(0))) / 100
+    g = e.groupBy("section_id", F.coalesce("chunk_id", F.lit(-1)).alias("chunk")).agg(F.max(score).alias("score"), F.coalesce(F.bool_and(F.coalesce("alignment_status", F.lit("failed")) == "failed"), F.lit(False)).alias("failed"), (F.count("evidence_quote") == 0).alias("empty"))
+    top = g.withColumn("p", F.row_number().over(Window.partitionBy("section_id").orderBy(F.desc("score"), "chunk"))).where("p <= 5")
+    first = F.col("p") == 1
+    s = top.groupBy("section_id").agg(F.max("score").alias("best"), F.avg("score").alias("average"), F.max(first & F.col("failed")).alias("failed"), F.min("empty").alias("empty"))
+    parents = table(spark, sf, "kb_section", "section_id", "parent_section_id").groupBy("section_id").agg(F.max("parent_section_id").alias("parent"))
+    j = s.join(parents, "section_id", "left")
+    c = E.retrieval_confidence(F.col("best"), F.col("average"), F.col("failed"), F.col("empty"), F.col("parent").isNull(), places=6)
+    return j.select("section_id", c.alias("confidence"), E.confidence_label(c).alias("label"))
 
 
 def citations_dedup(spark, sf):
@@ -81,8 +89,8 @@ def diversity_two_caps(spark, sf):
 
 def rerank_document(spark, sf):
     """The text that a reranker gets: marked fields joined by bars, cut to 500 characters."""
-    s = table(spark, sf, "kb_section_summary", "id", "section_title", "summary_type", "node_summary")
-    parts = [F.concat(F.lit(f"{k}="), F.col(c)) for k, c in (("title", "section_title"), ("field", "summary_type"))]
+    s = table(spark, sf, "kb_section_summary", "id", "file_node_id", "section_id", "section_title", "summary_type", "node_summary")
+    parts = [F.concat(F.lit(f"{k}="), F.col(c)) for k, c in (("doc", "file_node_id"), ("section", "section_id"), ("title", "section_title"), ("field", "summary_type"))]
     return s.select("id", F.substring(F.concat_ws(" | ", *parts, "node_summary"), 1, 500).alias("document"))
 
 
@@ -118,6 +126,8 @@ def qa_candidates(spark, sf):
 _EV = "e AS (SELECT DISTINCT id, kb_id, file_node_id, section_id, summary_id, chunk_id, evidence_quote, evidence_role, alignment_status FROM kb_section_summary_evidence)"
 _CF = "cf AS (SELECT section_id, count(*) AS vals, max(n) AS most, sum(n) AS al FROM (SELECT section_id, confidence, count(*) AS n FROM kb_section_summary WHERE confidence <> '' GROUP BY ALL) GROUP BY section_id), co AS (SELECT section_id, vals, CASE WHEN vals = 1 THEN 1.0 WHEN most * 2 > al THEN 0.75 ELSE 0.45 END::DOUBLE AS consistency FROM cf)"
 
+_EV2 = "e AS (SELECT DISTINCT id, section_id, chunk_id, evidence_quote, alignment_status FROM kb_section_summary_evidence)"
+
 CATALOGUE = {
     "evidence_groups": (evidence_groups, f"WITH {_EV} SELECT kb_id, chunk_id, count(*) AS n, min(id) AS \"first\", coalesce(string_agg(DISTINCT evidence_role, ',' ORDER BY evidence_role), '') AS roles, count(*) FILTER (WHERE alignment_status = 'exact') AS exact FROM e WHERE chunk_id IS NOT NULL GROUP BY ALL"),
     "field_conflict": (field_conflict, f'WITH {_CF} SELECT section_id, vals AS "values", consistency FROM co'),
@@ -128,8 +138,10 @@ CATALOGUE = {
     ),
     "retrieval_confidence": (
         retrieval_confidence,
-        f"""WITH {_EV}, g AS (SELECT section_id, max(least(100, coalesce(length(evidence_quote), 0))) / 100 AS b, sum(least(100, coalesce(length(evidence_quote), 0))) / count(*) / 100 AS a, coalesce(bool_or(alignment_status = 'failed'), false) AS f, count(evidence_quote) = 0 AS z FROM e WHERE section_id IS NOT NULL GROUP BY section_id),
-        c AS (SELECT section_id, round((0.6::DOUBLE * b + 0.4::DOUBLE * a) * CASE WHEN f THEN 0.6 ELSE 1 END::DOUBLE * CASE WHEN z THEN 0.75 ELSE 1 END::DOUBLE, 4) AS confidence FROM g) SELECT *, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.3 THEN 'low' ELSE 'very_low' END AS label FROM c""",
+        f"""WITH {_EV2}, g AS (SELECT section_id, coalesce(chunk_id, -1) AS chunk, max(least(100, coalesce(length(evidence_quote), 0))) / 100 AS score, bool_and(coalesce(alignment_status, 'failed') = 'failed') AS failed, count(evidence_quote) = 0 AS empty FROM e WHERE section_id IS NOT NULL GROUP BY ALL),
+        t AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY score DESC, chunk) AS p FROM g QUALIFY p <= 5), s AS (SELECT section_id, max(score) AS b, avg(score) AS a, bool_or(p = 1 AND failed) AS f, bool_and(empty) AS z FROM t GROUP BY section_id),
+        c AS (SELECT section_id, round((0.6::DOUBLE * b + 0.4::DOUBLE * a) * CASE WHEN f THEN 0.6 ELSE 1 END::DOUBLE * CASE WHEN z THEN 0.75 ELSE 1 END::DOUBLE * CASE WHEN parent IS NULL THEN 0.85 ELSE 1 END::DOUBLE, 6) AS confidence FROM s LEFT JOIN (SELECT section_id, max(parent_section_id) AS parent FROM kb_section GROUP BY section_id) USING (section_id))
+        SELECT *, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.3 THEN 'low' ELSE 'very_low' END AS label FROM c""",
     ),
     "citations_dedup": (citations_dedup, f"WITH {_EV} SELECT min(id) AS id, file_node_id, chunk_id FROM e WHERE evidence_quote IS NOT NULL GROUP BY file_node_id, chunk_id, left(evidence_quote, 80)"),
     "diversity_one_cap": (diversity_one_cap, f"WITH {_EV} SELECT section_id, id FROM (SELECT DISTINCT id, section_id, evidence_quote FROM e WHERE section_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY coalesce(length(evidence_quote), 0) DESC, id) <= 3"),
@@ -140,7 +152,7 @@ CATALOGUE = {
         t AS (SELECT id FROM b QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY n DESC, id) <= 20)
         SELECT kb_id, r.id, row_number() OVER (PARTITION BY kb_id ORDER BY (t.id IS NULL)::INT, n DESC, r.id)::INT AS place FROM r LEFT JOIN t ON t.id = r.id QUALIFY place <= 20""",
     ),
-    "rerank_document": (rerank_document, "SELECT id, left(concat_ws(' | ', 'title=' || section_title, 'field=' || summary_type, node_summary), 500) AS document FROM kb_section_summary"),
+    "rerank_document": (rerank_document, "SELECT id, left(concat_ws(' | ', 'doc=' || file_node_id, 'section=' || section_id, 'title=' || section_title, 'field=' || summary_type, node_summary), 500) AS document FROM kb_section_summary"),
     "context_blocks": (context_blocks, f"WITH {_EV}, t AS (SELECT * FROM (SELECT DISTINCT id, section_id, evidence_quote FROM e WHERE section_id IS NOT NULL AND evidence_quote IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY id) <= 20) SELECT section_id, string_agg(evidence_quote, chr(10) ORDER BY id) AS context FROM t GROUP BY section_id"),
     "snapshot_signature": (snapshot_signature, None),
     "incremental_plan": (

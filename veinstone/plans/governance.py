@@ -39,14 +39,16 @@ def chunk_type_filter(spark, sf):
 
 
 def qa_scope(spark, sf):
-    """Rows of chosen files, or of none."""
-    return table(spark, sf, "documents", "doc_id", "file_node_id").where("file_node_id = 880001 OR file_node_id IS NULL").select("doc_id")
+    """Approved chunks that aren't deleted, of chosen files or of none."""
+    return _chunk(spark, sf, "id", "file_node_id", "audit_status", "del_flag").where("(file_node_id IN (880001) OR file_node_id IS NULL) AND audit_status = 'approved' AND NOT coalesce(del_flag, false)").select("id")
 
 
 def active_scope(spark, sf):
-    """Files that have a generation in the index, and their chunks in just that generation."""
+    """Chunks in scope: where files are named (of base 7: file 880001) just those; elsewhere of files that have a generation in the index, in just that one."""
     index = table(spark, sf, "knowledge_chunks_v1", "file_node_id", "parse_generation", "deleted").where("NOT deleted AND parse_generation IS NOT NULL").select("file_node_id", "parse_generation").distinct()
-    return _chunk(spark, sf, "id", "file_node_id", "parse_generation").join(index, ["file_node_id", "parse_generation"], "left_semi").select("id")
+    c = _chunk(spark, sf, "id", "kb_id", "file_node_id", "parse_generation")
+    named = F.coalesce(F.col("kb_id") == 7, F.lit(False))
+    return c.where(named & (F.col("file_node_id") == 880001)).select("id").unionByName(c.where(~named).join(index, ["file_node_id", "parse_generation"], "left_semi").select("id"))
 
 
 def permission_filter(spark, sf):
@@ -69,8 +71,9 @@ def chunk_stats(spark, sf):
 
 
 def chunk_type_stats(spark, sf):
-    """Number and page range by chunk type."""
-    return _chunk(spark, sf, "chunk_type", "page_start", "page_end").groupBy("chunk_type").agg(F.count("*").alias("n"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
+    """Number and page range by chunk type and type of section."""
+    types = table(spark, sf, "kb_section", "section_id", "section_type").groupBy("section_id").agg(F.min("section_type").alias("section_type"))
+    return _chunk(spark, sf, "chunk_type", "page_start", "page_end", "section_id").join(types, "section_id", "left").groupBy("chunk_type", "section_type").agg(F.count("*").alias("n"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
 
 
 def audit_counts(spark, sf):
@@ -202,7 +205,7 @@ def pointer_switch(spark, sf):
 
 
 def parse_cache_lookup(spark, sf):
-    """Documents whose content another one of the same language has had parsed before: an exact five-part key."""
+    """Documents whose content another one of the same language and source has had parsed before: an exact key of three parts (``cache_lookup`` has the one of five)."""
     d = table(spark, sf, "documents", "doc_id", "text", "lang", "source").where("text IS NOT NULL")
     key = d.select("doc_id", F.sha1("text").alias("hash"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     first = key.groupBy("hash", "lang", "source").agg(F.min("doc_id").alias("cached"))
@@ -262,12 +265,12 @@ CATALOGUE = {
     "active_chunks": (active_chunks, "SELECT id, kb_id, file_node_id FROM kb_chunk WHERE enabled AND audit_status = 'approved' AND NOT del_flag"),
     "structural_filter": (structural_filter, "SELECT DISTINCT id, anchor_type FROM kb_anchor_registry WHERE kb_id = 7 AND status = 'active'"),
     "chunk_type_filter": (chunk_type_filter, "SELECT id, chunk_type FROM kb_chunk WHERE chunk_type IN ('small_chunk', 'section_chunk')"),
-    "qa_scope": (qa_scope, "SELECT doc_id FROM documents WHERE file_node_id = 880001 OR file_node_id IS NULL"),
-    "active_scope": (active_scope, "SELECT id FROM kb_chunk c WHERE EXISTS (SELECT 1 FROM knowledge_chunks_v1 k WHERE NOT k.deleted AND k.file_node_id = c.file_node_id AND k.parse_generation = c.parse_generation)"),
+    "qa_scope": (qa_scope, "SELECT id FROM kb_chunk WHERE (file_node_id IN (880001) OR file_node_id IS NULL) AND audit_status = 'approved' AND NOT coalesce(del_flag, false)"),
+    "active_scope": (active_scope, "SELECT id FROM kb_chunk c WHERE CASE WHEN coalesce(kb_id = 7, false) THEN file_node_id = 880001 ELSE EXISTS (SELECT 1 FROM knowledge_chunks_v1 k WHERE NOT k.deleted AND k.file_node_id = c.file_node_id AND k.parse_generation = c.parse_generation) END"),
     "permission_filter": (permission_filter, "SELECT id FROM kb_chunk WHERE kb_id % 2 = 0 OR kb_id IN (SELECT kb_id FROM kb_section_summary WHERE confidence = 'high')"),
     "keyword_predicates": (keyword_predicates, "SELECT DISTINCT id FROM kb_section s WHERE section_title LIKE '%费率%' AND section_type IS NOT NULL AND EXISTS (SELECT 1 FROM kb_section_summary m WHERE m.section_id = s.section_id)"),
     "chunk_stats": (chunk_stats, "SELECT kb_id, count(*) AS total, count_if(enabled AND NOT del_flag) AS available, count_if(del_flag) AS deleted FROM kb_chunk GROUP BY kb_id"),
-    "chunk_type_stats": (chunk_type_stats, "SELECT chunk_type, count(*) AS n, min(page_start) AS first_page, max(page_end) AS last_page FROM kb_chunk GROUP BY chunk_type"),
+    "chunk_type_stats": (chunk_type_stats, "SELECT chunk_type, section_type, count(*) AS n, min(page_start) AS first_page, max(page_end) AS last_page FROM kb_chunk LEFT JOIN (SELECT section_id, min(section_type) AS section_type FROM kb_section GROUP BY section_id) USING (section_id) GROUP BY ALL"),
     "audit_counts": (audit_counts, "SELECT file_node_id, count_if(audit_status = 'approved') AS approved, count_if(audit_status = 'rejected') AS rejected, count_if(audit_status = 'pending') AS pending FROM kb_chunk GROUP BY file_node_id"),
     "audit_state_derived": (
         audit_state_derived,

@@ -49,6 +49,26 @@ def fnv_hash(spark, sf):
     return table(spark, sf, "kb_section", "section_id").distinct().select("section_id", T.fnv1a(F.col("section_id")).alias("hash"))
 
 
+def minhash_signatures(spark, sf):
+    """The first four of the minima of seeded FNV hashes over the shingles of each label (hash of ``seed:shingle``)."""
+    l = _anchors(spark, sf).select(T.label(F.col("anchor_name")).alias("label")).distinct().where("label <> ''")
+    least = lambda seed: F.array_min(F.transform(T.shingles(F.col("label")), lambda x: T.fnv1a(F.concat(F.lit(f"{seed}:"), x))))
+    return l.select("label", *[least(s).alias(f"m{s}") for s in range(4)])
+
+
+def dedup_decisions(spark, sf):
+    """Decisions on anchors of one file: labels that are equal merge; near ones are accepted from 0.94 on if they are of the same type, else pending."""
+    a = _anchors(spark, sf, "file_node_id", "anchor_type").select("file_node_id", "id", "anchor_type", T.label(F.col("anchor_name")).alias("label")).where("label <> ''")
+    one = a.groupBy("file_node_id", "label").agg(F.min("anchor_type").alias("type"), F.min("id").alias("id"), F.count("*").alias("members"))
+    near = S.near_labels(a.select("file_node_id", "label"), ["file_node_id"])
+    side = lambda x: one.select("file_node_id", F.col("label").alias(x), F.col("type").alias(f"type_{x}"), F.col("id").alias(f"id_{x}"))
+    pairs = near.join(side("a"), ["file_node_id", "a"]).join(side("b"), ["file_node_id", "b"])
+    same = F.coalesce(F.col("type_a") == F.col("type_b"), F.lit(False))
+    fuzzy = pairs.select("file_node_id", F.least("id_a", "id_b").alias("id"), F.greatest("id_a", "id_b").alias("other"), "similarity", F.when((F.col("similarity") >= 0.94) & same, "accept").otherwise("pending").alias("decision"))
+    merged = one.where("members > 1").select("file_node_id", "id", F.lit(None).cast("long").alias("other"), F.lit(1.0).alias("similarity"), F.lit("merge").alias("decision"))
+    return merged.unionByName(fuzzy)
+
+
 def stable_keys(spark, sf):
     """First 16 characters of the SHA-1 of each document."""
     return table(spark, sf, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", T.stable_key(F.col("text")).alias("key"))
@@ -61,9 +81,9 @@ def near_duplicate_anchors(spark, sf):
 
 
 def dedup_winner(spark, sf):
-    """Of anchors of one label and file the winner: highest confidence, shorter id, smaller id."""
-    a = _anchors(spark, sf, "file_node_id", "confidence").withColumn("label", T.label(F.col("anchor_name"))).where("label <> ''")
-    order = Window.partitionBy("file_node_id", "label").orderBy(F.desc_nulls_last("confidence"), F.length(F.col("id").cast("string")), "id")
+    """Of anchors of one label and file the winner: highest confidence, plans (the primary type) first, shorter id, smaller id."""
+    a = _anchors(spark, sf, "file_node_id", "confidence", "anchor_type").withColumn("label", T.label(F.col("anchor_name"))).where("label <> ''")
+    order = Window.partitionBy("file_node_id", "label").orderBy(F.desc_nulls_last("confidence"), F.when(F.col("anchor_type") == "plan", 0).otherwise(1), F.length(F.col("id").cast("string")), "id")
     return a.withColumn("n", F.row_number().over(order)).where("n = 1").select("file_node_id", "label", "id")
 
 
@@ -127,6 +147,8 @@ _COS = """s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_sum(list_tr
     FROM embeddings q, embeddings v WHERE q.vec_id {} AND q.vec_id <> v.vec_id)"""
 _SH = "list_distinct(list_transform(generate_series(1, greatest(length({0}) - k{1} + 1, 1)), lambda i: substr({0}, i, k{1})))"
 
+_FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT), lambda h, p: ((xor(h, p) * 16777619) & 4294967295)::BIGINT, 2166136261::BIGINT)"
+
 CATALOGUE = {
     "exact_dup_groups": (exact_dup_groups, "SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS members FROM documents WHERE length(text) > 0 WINDOW w AS (PARTITION BY text) QUALIFY count(*) OVER w > 1"),
     "label_normalise": (label_normalise, "SELECT regexp_replace(lower(anchor_name), '[^0-9a-z一-鿿]', '', 'g') AS label, count(DISTINCT id) AS n FROM kb_anchor_registry GROUP BY 1"),
@@ -144,12 +166,19 @@ CATALOGUE = {
         k AS (SELECT *, CASE WHEN length(a) <= 6 THEN 2 ELSE 3 END AS k1, CASE WHEN length(b) <= 6 THEN 2 ELSE 3 END AS k2 FROM a WHERE a <> '' AND b <> ''),
         s AS (SELECT id, {_SH.format('a', 1)} AS x, {_SH.format('b', 2)} AS y FROM k) SELECT id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM s""",
     ),
-    "fnv_hash": (fnv_hash, None),
+    "fnv_hash": (fnv_hash, f"SELECT DISTINCT section_id, {_FNV.format('section_id')} AS hash FROM kb_section"),
+    "minhash_signatures": (
+        minhash_signatures,
+        f"""WITH l AS (SELECT DISTINCT regexp_replace(lower(anchor_name), '[^0-9a-z一-鿿]', '', 'g') AS label FROM kb_anchor_registry), k AS (SELECT label, CASE WHEN length(label) <= 6 THEN 2 ELSE 3 END AS k FROM l WHERE label <> ''),
+        s AS (SELECT DISTINCT label, unnest(CASE WHEN length(label) <= k THEN [label] ELSE list_transform(range(1, length(label) - k + 2), lambda i: substr(label, i, k)) END) AS x FROM k), h AS (SELECT label, seed, min({_FNV.format("seed::VARCHAR || ':' || x")}) AS m FROM s, range(4) r(seed) GROUP BY ALL)
+        SELECT label, max(m) FILTER (WHERE seed = 0) AS m0, max(m) FILTER (WHERE seed = 1) AS m1, max(m) FILTER (WHERE seed = 2) AS m2, max(m) FILTER (WHERE seed = 3) AS m3 FROM h GROUP BY label""",
+    ),
+    "dedup_decisions": (dedup_decisions, None),
     "stable_keys": (stable_keys, "SELECT doc_id, left(sha1(text), 16) AS key FROM documents WHERE text IS NOT NULL"),
     "near_duplicate_anchors": (near_duplicate_anchors, None),
     "dedup_winner": (
         dedup_winner,
-        "WITH a AS (SELECT DISTINCT id, file_node_id, confidence, regexp_replace(lower(anchor_name), '[^0-9a-z一-鿿]', '', 'g') AS label FROM kb_anchor_registry) SELECT file_node_id, label, id FROM a WHERE label <> '' QUALIFY row_number() OVER (PARTITION BY file_node_id, label ORDER BY confidence DESC NULLS LAST, length(id::VARCHAR), id) = 1",
+        "WITH a AS (SELECT DISTINCT id, file_node_id, confidence, anchor_type, regexp_replace(lower(anchor_name), '[^0-9a-z一-鿿]', '', 'g') AS label FROM kb_anchor_registry) SELECT file_node_id, label, id FROM a WHERE label <> '' QUALIFY row_number() OVER (PARTITION BY file_node_id, label ORDER BY confidence DESC NULLS LAST, CASE WHEN anchor_type = 'plan' THEN 0 ELSE 1 END, length(id::VARCHAR), id) = 1",
     ),
     "quote_align_exact": (quote_align_exact, f"WITH {_Q} SELECT id, instr(content, evidence_quote) - 1 AS begin FROM q WHERE contains(content, evidence_quote)"),
     "quote_align_compact": (quote_align_compact, rf"WITH {_Q} SELECT id FROM q WHERE NOT contains(content, evidence_quote) AND contains(lower(regexp_replace(content, '[ \t\r\n]+', '', 'g')), lower(regexp_replace(evidence_quote, '[ \t\r\n]+', '', 'g')))"),

@@ -51,11 +51,19 @@ def paragraph_blocks(spark, sf):
 
 
 def multigranularity(spark, sf):
-    """Parent chunks: the small chunks of a section in order, cut to 4,200 characters, where a section has two or more."""
+    """Chunks of three grains: small ones packed in order into section chunks of up to 4,200 characters, those into parent chunks of up to 6,500 from two on; a chunk longer than that stands alone. Of each section how many of both and the longest."""
     c = table(spark, sf, "kb_chunk", "id", "section_id", "seq_no", "latest_revision_id").where("section_id IS NOT NULL")
     r = table(spark, sf, "kb_chunk_revision", "id", "content").select(F.col("id").alias("latest_revision_id"), "content").dropDuplicates(["latest_revision_id"])
-    j = c.join(r, "latest_revision_id").groupBy("section_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq_no", "id", "content"))).alias("x"))
-    return j.where("n >= 2").select("section_id", "n", F.length(F.substring(F.array_join(F.col("x.content"), "\n"), 1, 4200)).alias("size"))
+    j = c.join(r, "latest_revision_id").groupBy("section_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq_no", "id", F.length("content").alias("l"))))["l"].alias("sizes"))
+
+    def packed(sizes, limit):
+        begin = F.array().cast("array<int>")
+        full = lambda s, x: (F.size(s) == 0) | (F.try_element_at(s, F.lit(-1)) + 1 + x > limit)
+        return F.aggregate(sizes, begin, lambda s, x: F.when(full(s, x), F.concat(s, F.array(x))).otherwise(F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.element_at(s, -1) + 1 + x))))
+
+    s = j.withColumn("sections", packed(F.col("sizes"), 4200))
+    p = s.withColumn("parents", F.when(F.size("sections") >= 2, packed(F.col("sections"), 6500)).otherwise(F.array().cast("array<int>")))
+    return p.select("section_id", "n", F.size("sections").alias("section_chunks"), F.size("parents").alias("parent_chunks"), F.array_max("sections").alias("longest_section"), F.array_max("parents").alias("longest_parent"))
 
 
 def adjacent_relations(spark, sf):
@@ -186,10 +194,7 @@ CATALOGUE = {
         paragraph_blocks,
         "WITH b AS (SELECT doc_id, unnest(range(len(x)))::INT AS block, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x FROM documents WHERE text IS NOT NULL)) SELECT doc_id, block, CASE WHEN regexp_matches(t, '^#{1,6} ') THEN 'heading' WHEN contains(t, chr(9)) THEN 'table' ELSE 'text' END AS label FROM b WHERE length(t) > 0",
     ),
-    "multigranularity": (
-        multigranularity,
-        "SELECT section_id, count(*) AS n, length(left(string_agg(content, chr(10) ORDER BY seq_no, c.id), 4200)) AS size FROM kb_chunk c JOIN (SELECT DISTINCT id, content FROM kb_chunk_revision) r ON r.id = c.latest_revision_id WHERE section_id IS NOT NULL GROUP BY section_id HAVING count(*) >= 2",
-    ),
+    "multigranularity": (multigranularity, None),
     "adjacent_relations": (adjacent_relations, f"WITH {_ADJ} SELECT * FROM adj"),
     "section_context": (section_context, f"WITH {_CTX} SELECT * FROM ctx"),
     "related_chunks": (related_chunks, f"WITH {_ADJ}, {_CTX}, b AS (SELECT id, next, weight FROM adj UNION SELECT next, id, weight FROM adj UNION SELECT id, context, weight FROM ctx) SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, next) AS place FROM b QUALIFY place <= 5"),
