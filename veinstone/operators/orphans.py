@@ -32,10 +32,10 @@ REFERENCE = ["source_table", "ref_field", "id"]
 ORPHANS = ("missing", "deleted", "late")
 #: States by their number in the log.
 STATES = ("none", "resolved", *ORPHANS)
-#: Buckets of the keys. A step that brings few keys reads few of them.
-BUCKETS = 64
+#: Buckets of the keys, unless a ledger is made with more. A step that brings few keys reads few of them.
+BUCKETS = 16
 #: Tasks over which the rows of one bucket are spread when they are written.
-SPREAD = 4
+SPREAD = 2
 
 _INDEX = "target string, key long, deleted boolean, created timestamp_ntz, step int, bucket int"
 _REFS = "source_table string, ref_field string, id long, target string, key long, time timestamp_ntz, state tinyint, delivered int, step int, bucket int"
@@ -57,8 +57,8 @@ def parents(df: DataFrame, target: str, key: str = "id", deleted: str | None = N
     return rows.groupBy("target", "key").agg(F.min("deleted").alias("deleted"), F.min("created").alias("created"))
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("target", "key"), F.lit(BUCKETS)).cast("int")
+def _bucket(n: int):
+    return F.pmod(F.xxhash64("target", "key"), F.lit(n)).cast("int")
 
 
 def _state():
@@ -85,11 +85,12 @@ class Ledger:
     spark: SparkSession
     at: str
     steps: int = 0
+    buckets: int = BUCKETS
     snapshots: tuple[int, ...] = ()
 
     @classmethod
-    def empty(cls, spark: SparkSession) -> Ledger:
-        return cls(spark, f"{shared_dir(spark)}/veinstone/ledger-{uuid.uuid4().hex}")
+    def empty(cls, spark: SparkSession, buckets: int = BUCKETS) -> Ledger:
+        return cls(spark, f"{shared_dir(spark)}/veinstone/ledger-{uuid.uuid4().hex}", buckets=buckets)
 
     @classmethod
     def start(cls, new_parents: DataFrame, new_refs: DataFrame, snapshot: bool = False) -> Ledger:
@@ -115,10 +116,10 @@ class Ledger:
         """Take in arrived or changed parents (their newest form) and new or re-pointed references, and take a snapshot if asked."""
         now = replace(self, steps=self.steps + 1)
         k = now.steps
-        self._append("parents", k, new_parents.select("target", "key", "deleted", "created").withColumn("bucket", _bucket()))
+        self._append("parents", k, new_parents.select("target", "key", "deleted", "created").withColumn("bucket", _bucket(self.buckets)))
         arrived = now._read("parents", _INDEX).where(F.col("step") == k)
         changed = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        fresh = new_refs.select(*REFERENCE, "target", "key", "time").withColumn("bucket", _bucket()).withColumn("delivered", F.lit(k))
+        fresh = new_refs.select(*REFERENCE, "target", "key", "time").withColumn("bucket", _bucket(self.buckets)).withColumn("delivered", F.lit(k))
         # New references probe the index as it is now.
         out = judge(fresh, self._newest(now._read("parents", _INDEX)))
         if self.steps and changed:

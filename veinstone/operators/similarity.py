@@ -17,8 +17,10 @@ SEEDS, BANDS = 32, 8
 
 
 def minhash(shingles: Column, seeds: int = SEEDS) -> Column:
-    """Minimum of a seeded hash over the shingles, for each seed."""
-    return F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.array_min(F.transform(shingles, lambda x: F.xxhash64(s, x))))
+    """Minimum of a seeded hash over the shingles, for each seed. The shingles are gone through once, not once a seed."""
+    all_ = F.sequence(F.lit(0), F.lit(seeds - 1))
+    most = F.array_repeat(F.lit((1 << 63) - 1), seeds)
+    return F.aggregate(shingles, most, lambda least, x: F.zip_with(least, F.transform(all_, lambda s: F.xxhash64(s, x)), lambda p, q: F.least(p, q)))
 
 
 def bands(signature: Column, n: int = BANDS, rows: int = SEEDS // BANDS) -> Column:
@@ -85,9 +87,9 @@ def near_labels(df: DataFrame, by: list[str], label: str = "label", threshold: f
     keyed = rows.withColumn("sig", minhash(T.shingles(F.col("l")))).withColumn("band", F.explode(bands(F.col("sig")))).drop("sig")
     a = keyed.select(*by, "band", F.col("l").alias("a"))
     b = keyed.select(*by, "band", F.col("l").alias("b"))
-    pairs = a.join(b, [*by, "band"]).where("a < b").dropDuplicates([*by, "a", "b"])
+    pairs = a.join(b, [*by, "band"]).where("a < b").dropDuplicates([*by, "a", "b"]).withColumn("sa", T.shingles(F.col("a"))).withColumn("sb", T.shingles(F.col("b")))
     contained = (F.least(F.length("a"), F.length("b")) >= 4) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(T.shingles(F.col("a")), T.shingles(F.col("b"))), _pairwise(ratio_from(threshold - 1e-6), F.col("a"), F.col("b"))))
+    sim = F.when(contained, F.lit(0.9)).otherwise(F.greatest(T.jaccard(F.col("sa"), F.col("sb")), _pairwise(ratio_from(threshold - 1e-6), F.col("a"), F.col("b"))))
     near = pairs.select(*by, "a", "b", F.round(sim, 6).alias("similarity"))
     # The parts of a label that are shorter by 1 to ``longer`` characters and have at least four.
     cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for d in range(1, longer + 1) for i in range(d + 1)])
