@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexical", "governance", "similarity", "structure", "graphs", "feeds", "evidence", "understanding", "trees", "references", "relations", "indexing", "retrieval", "knowledge", "review", "catalog", "questions", "connectors")
+MODULES = ("lexical", "governance", "similarity", "structure", "graphs", "feeds", "evidence", "understanding", "trees", "references", "relations", "indexing", "retrieval", "knowledge", "review", "catalog", "questions", "connectors", "profiles")
 
 
 def _modules():
