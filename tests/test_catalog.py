@@ -108,3 +108,35 @@ def test_merging_of_passes_loses_no_pair(spark, sf):
             assert (stands == a) or (stands in near)
             if not near:
                 assert stands == a
+
+
+def _broadcast_explodes(df):
+    """Whether the plan, before anything is run, broadcasts rows that explode has multiplied."""
+    def walk(node, under):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.initialPlan(), under)
+        under = under or name.startswith("BroadcastExchange")
+        return under and name == "Generate" or any([walk(node.children().apply(i), under) for i in range(node.children().size())])
+
+    return walk(df._jdf.queryExecution().executedPlan(), False)
+
+
+def test_merging_of_passes_broadcasts_no_parts(spark, sf):
+    assert not _broadcast_explodes(knowledge.pass_merge(spark, sf))
+
+
+def test_merging_of_passes_against_all_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    rows = {("".join(rng.choice("abcd") for _ in range(rng.randint(1, 14)))): rng.choice([None, 0.5, 0.9]) for _ in range(150)} | {"a" * 30: 0.5, "a" * 25 + "b": 0.9, "abcdefgh" * 9: None}
+    at = [(None, "t"), (1, None), (1, "t"), (2, "t")]
+    data = [(f, k, name, c) for f, k in at for name, c in rows.items()]
+    spark.createDataFrame(data, "file_node_id long, anchor_type string, anchor_name string, confidence double").write.parquet(f"{tmp_path}/kb_anchor_registry.parquet")
+    own = {a: (c or 0.0, len(a), a) for a, c in rows.items() if len(a) >= 3}
+    merged = {a: max(own[b] for b in own if b == a or S.overlap(a, b) >= 0.72)[2] for a in own}
+    got = {(r["file_node_id"], r["anchor_type"], r["label"]): r["stands_for"] for r in knowledge.pass_merge(spark, str(tmp_path)).collect()}
+    assert got == {(f, k, a): a if f is None or k is None else merged[a] for f, k in at for a in own}
+
+
+def test_windows_are_as_long_as_the_overlap_asks():
+    assert all(S.window_size(n) == min(m for m in range(n + 1) if m / n >= 0.72) for n in range(3, 2000))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,52 @@ def overlap(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size / min(len(a), len(b))
 
 
+def window_size(n: Column | int) -> Column | int:
+    """The least length of a common substring of an overlap of 0.72, of the shorter label's length."""
+    size = (72 * n + 99) / 100
+    return F.floor(size) if isinstance(n, Column) else int(size)
+
+
+#: Counters of parts that reach the driver.
+COUNTERS = 1 << 16
+
+
+def part_counts(parts: DataFrame, part: str) -> np.ndarray:
+    """How often parts occur, by their checksum: ``COUNTERS`` numbers. Parts that share a counter are taken for more frequent, no more."""
+    found = parts.groupBy(F.pmod(F.crc32(F.col(part).cast("binary")), F.lit(COUNTERS)).alias("i")).agg(F.count("*").alias("f")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["i"].to_numpy()] = found["f"].to_numpy()
+    return counts
+
+
+def windows(df: DataFrame, by: list[str], label: str, counts: np.ndarray) -> DataFrame:
+    """(by, window, part): the windows of each label and of each window its rarest part of three characters, by ``counts``. Labels have three characters or more."""
+    shared = df.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            row, window, part = [], [], []
+            for r, text in enumerate(b.column(len(by)).to_pylist()):
+                w = window_size(len(text))
+                parts = [text[i : i + 3] for i in range(len(text) - 2)]
+                ranks = [(often[zlib.crc32(p.encode()) % COUNTERS], p) for p in parts]
+                least = -1
+                for i in range(len(text) - w + 1):
+                    if least < i:
+                        least = min(range(i, i + w - 2), key=ranks.__getitem__)
+                    elif ranks[i + w - 3] < ranks[least]:
+                        least = i + w - 3
+                    row.append(r)
+                    window.append(text[i : i + w])
+                    part.append(parts[least])
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(by))), pa.array(window, pa.string()), pa.array(part, pa.string())], [*by, "window", "part"])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    return df.select(*by, label).mapInArrow(run, f"{kinds}, window string, part string")
+
+
 def _pairwise(measure, a: Column, b: Column) -> Column:
     """A measure of two strings, batch by batch; null if either is null."""
 

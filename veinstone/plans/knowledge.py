@@ -64,28 +64,25 @@ def field_merge(spark, sf):
 def pass_merge(spark, sf):
     """Anchors of one file and type after several passes: equal labels merge, then labels whose overlap reaches 0.72 give way to the one of higher confidence, then greater length.
 
-    One row an anchor label: the label that stands for it. Overlaps are looked for among labels that share a part of three characters,
-    which every pair with an overlap of 0.72 and three characters or more does.
+    One row an anchor label: the label that stands for it. Two labels overlap by 0.72 if they share one of the windows of the shorter,
+    the substrings that are 0.72 as long as it. Each distinct window meets the labels that hold its rarest three characters;
+    per window, its owners take the best label that holds it, and the labels that hold it the best of its owners. Pairs of labels are not listed.
     """
-    a = table(spark, sf, "kb_anchor_registry", "id", "file_node_id", "anchor_type", "anchor_name", "confidence")
-    l = a.select("file_node_id", "anchor_type", T.label(F.col("anchor_name")).alias("label"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c")).where("length(label) >= 3")
-    one = l.groupBy("file_node_id", "anchor_type", "label").agg(F.max("c").alias("c")).withColumn("n", F.length("label"))
+    by = ["file_node_id", "anchor_type"]
+    a = table(spark, sf, "kb_anchor_registry", *by, "anchor_name", "confidence")
+    l = a.select(*by, T.label(F.col("anchor_name")).alias("label"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c")).where("length(label) >= 3")
+    one = l.groupBy(*by, "label").agg(F.max("c").alias("c")).withColumn("n", F.length("label"))
     cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring("label", i, F.lit(3))))
-    parts = one.select("file_node_id", "anchor_type", "label", F.explode(cuts).alias("part"))
-    # A part that many labels of a file share tells little: the rarest parts of a label suffice, as a match of 72 % holds most of them.
-    often = parts.groupBy("file_node_id", "anchor_type", "part").agg(F.count("*").alias("f"))
-    rare = Window.partitionBy("file_node_id", "anchor_type", "label").orderBy("f", "part")
-    kept = parts.join(often, ["file_node_id", "anchor_type", "part"]).withColumn("p", F.row_number().over(rare)).withColumn("k", F.count("*").over(Window.partitionBy("file_node_id", "anchor_type", "label"))).where("p <= ceil(k * 0.5) + 1").select("file_node_id", "anchor_type", "label", "part")
-    x = kept.withColumnRenamed("label", "a")
-    y = parts.withColumnRenamed("label", "b")
-    pairs = x.join(y, ["file_node_id", "anchor_type", "part"]).where("a <> b").select("file_node_id", "anchor_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = pairs.where(S.overlaps(F.col("a"), F.col("b")) >= 0.72)
-    both = near.select("file_node_id", "anchor_type", F.col("a").alias("label"), F.col("b").alias("other")).unionByName(near.select("file_node_id", "anchor_type", F.col("b").alias("label"), F.col("a").alias("other")))
-    other = one.select("file_node_id", "anchor_type", F.col("label").alias("other"), F.struct("c", "n", F.col("label").alias("l")).alias("theirs"))
-    stronger = both.join(other, ["file_node_id", "anchor_type", "other"]).groupBy("file_node_id", "anchor_type", "label").agg(F.max("theirs").alias("theirs"))
-    j = one.join(stronger, ["file_node_id", "anchor_type", "label"], "left")
-    wins = F.coalesce(F.col("theirs") > F.struct("c", "n", F.col("label").alias("l")), F.lit(False))
-    return j.select("file_node_id", "anchor_type", "label", F.when(wins, F.col("theirs.l")).otherwise(F.col("label")).alias("stands_for"))
+    parts = one.select(*by, "label", "c", "n", F.explode(cuts).alias("part"))
+    windows = S.windows(one.where("file_node_id IS NOT NULL AND anchor_type IS NOT NULL"), by, "label", S.part_counts(parts, "part")).distinct()
+    # The optimizer doesn't know that explode makes more rows: left to itself it broadcasts them.
+    held = windows.hint("merge").join(parts, [*by, "part"]).where(F.col("label").contains(F.col("window")))
+    mine, own = F.struct("c", "n", F.col("label").alias("l")), F.length("window") == S.window_size(F.col("n"))
+    of = Window.partitionBy(*by, "window")
+    best = held.select(*by, "label", F.max(F.when(own, mine)).over(of).alias("owner"), F.when(own, F.max(mine).over(of)).alias("holder"))
+    stronger = best.groupBy(*by, "label").agg(F.max(F.greatest("owner", "holder")).alias("theirs"))  # at least the label itself
+    j = one.join(stronger, [*by, "label"], "left")
+    return j.select(*by, "label", F.coalesce("theirs.l", "label").alias("stands_for"))
 
 
 def graph_dedupe(spark, sf):
