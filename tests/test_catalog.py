@@ -140,3 +140,19 @@ def test_merging_of_passes_against_all_pairs(spark, tmp_path):
 
 def test_windows_are_as_long_as_the_overlap_asks():
     assert all(S.window_size(n) == min(m for m in range(n + 1) if m / n >= 0.72) for n in range(3, 2000))
+
+
+def _headings(spark, at, headings, titles):
+    spark.createDataFrame([(x,) for x in headings], "title string").write.parquet(f"{at}/kb_chunk_revision.parquet")
+    spark.createDataFrame([(x,) for x in titles], "section_title string").write.parquet(f"{at}/kb_section.parquet")
+    return catalog.heading_match(spark, str(at))
+
+
+def test_heading_match_broadcasts_no_pairs_of_characters(spark, sf):
+    assert not _broadcast_explodes(catalog.heading_match(spark, sf))
+
+
+def test_heading_match_of_keys_that_repeat_pairs(spark, tmp_path):
+    rows = _headings(spark, tmp_path, ["aaaaacbaaaabba", "abcde", "xyzw"], ["aaaaabdaaaabba", "abcdefgh", None]).collect()
+    ratio = round(difflib.SequenceMatcher(None, "aaaaacbaaaabba", "aaaaabdaaaabba", autojunk=False).ratio(), 6)
+    assert {(r["h"], r["t"], r["ratio"]) for r in rows} == {("aaaaacbaaaabba", "aaaaabdaaaabba", ratio), ("abcde", "abcdefgh", 0.9)}

@@ -108,6 +108,36 @@ def _pairwise(measure, a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+def near_best(pairs: DataFrame, a: str, b: str, order: str, least: float, shortest: int = 6) -> DataFrame:
+    """(a, b, ratio): pairs that reach ``least``, 0.9 where the one holds the other, without those that are known to be worse than another of the same ``a``.
+
+    The pairs of one ``a`` come together, by ``order``; a ratio is computed only where its upper bounds reach the best so far.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, best = None, least
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x != own:
+                    own, best = x, least
+                if x in y or y in x:
+                    r = 0.9
+                elif min(len(x), len(y)) < shortest:
+                    continue
+                else:
+                    m, floor = difflib.SequenceMatcher(None, x, y, autojunk=False), max(least, best - 1e-6)  # ratios are rounded
+                    r = m.ratio() if m.real_quick_ratio() >= floor and m.quick_ratio() >= floor else 0.0
+                r = round(r, 6)
+                if r >= least:
+                    best = max(best, r)
+                    found.append((x, y, r))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], [a, b, "ratio"])
+
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(tasks, a).sortWithinPartitions(a, order).select(a, b).mapInArrow(run, f"{a} string, {b} string, ratio double")
+
+
 def ratios(a: Column, b: Column) -> Column:
     return _pairwise(ratio, a, b)
 

@@ -45,23 +45,31 @@ def catalogue_validation(spark, sf):
 def heading_match(spark, sf):
     """Headings of revisions held against the titles of the catalogue: equal keys, the one holding the other, or a ratio of 0.82 from six characters on; the best title of each heading.
 
-    Equal keys meet by a join. A key that holds another has the other's rarest pair of characters. Keys of a ratio of 0.82 share at
-    least 0.39 n - 1 of the n - 1 pairs of either, so one of them is among the rarest n - 0.39 n of each: no such pair of keys is missed.
+    Equal keys meet by a join. A key that holds another has the other's rarest pair of characters. Of the n - 1 pairs of either of two
+    keys of a ratio of 0.82, together s long, 0.23 s - 1 >= 0.38 n - 1 stay together, so one that both have is among the rarest n - (0.38 n - 1) of each:
+    no such pair of keys is missed. Pairs of keys that lack too many of each other's pairs, by two words of 64 bits, go no further.
     """
     h = table(spark, sf, "kb_chunk_revision", "title").where("title IS NOT NULL").select(K.key(F.col("title")).alias("x")).distinct().where("length(x) >= 4")
     t = table(spark, sf, "kb_section", "section_title").where("section_title IS NOT NULL").select(K.key(F.col("section_title")).alias("x")).distinct().where("length(x) >= 4")
     equal = h.join(t, "x", "left_semi").select(F.col("x").alias("h"), F.col("x").alias("t"), F.lit(1.0).alias("ratio"))
-    two = lambda df: df.select("x", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring("x", i, F.lit(2))))).alias("g"))
-    hg, tg = two(h.join(equal.select(F.col("h").alias("x")), "x", "left_anti")), two(t)
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring("x", i, F.lit(2))))
+    places = F.transform("_g", lambda g: F.pmod(F.xxhash64(g), F.lit(128)).cast("int"))
+    word = lambda i: F.expr(f"aggregate(filter(_b, b -> b div 64 = {i}), 0L, (m, b) -> m | shiftleft(1L, b % 64))")
+    two = lambda df: df.withColumn("_g", cuts).withColumn("_b", places).select("x", F.length("x").alias("n"), word(0).alias("m0"), word(1).alias("m1"), F.explode("_g").alias("g"))
+    # The optimizer doesn't know that explode makes more rows: left to itself it broadcasts them.
+    hg, tg = two(h.join(t, "x", "left_anti")), two(t)
     often = hg.unionByName(tg).groupBy("g").agg(F.count("*").alias("f"))
     w = Window.partitionBy("x").orderBy("f", "g")
-    placed = lambda df: df.join(often, "g").withColumn("p", F.row_number().over(w)).withColumn("k", F.count("*").over(Window.partitionBy("x")))
+    placed = lambda df: df.hint("merge").join(often, "g").withColumn("p", F.row_number().over(w))
     hp, tp = placed(hg), placed(tg)
-    few = F.col("p") <= F.col("k") - F.greatest(F.lit(1), F.ceil(0.39 * F.length("x") - 1)) + 1
-    meet = lambda a, b: a.select("g", F.col("x").alias("h")).join(b.select("g", F.col("x").alias("t")), "g").select("h", "t")
-    pairs = meet(hp.where(few), tp.where(few)).unionByName(meet(hp.where("p = 1"), tg)).unionByName(meet(hg, tp.where("p = 1"))).distinct()
-    ratio = F.when(F.col("h").contains(F.col("t")) | F.col("t").contains(F.col("h")), 0.9).when(F.least(F.length("h"), F.length("t")) >= 6, S._pairwise(S.ratio_from(0.82), F.col("h"), F.col("t"))).otherwise(0.0)
-    near = pairs.withColumn("ratio", F.round(ratio, 6)).where("ratio >= 0.82")
+    few = (F.col("n") >= 6) & (F.col("p") <= F.col("n") - F.ceil((38 * F.col("n") - 100) / 100))
+    as_ = lambda df, e: df.select("g", *[F.col(c).alias(f"{e}{c}") for c in ("x", "n", "m0", "m1")])
+    meet = lambda a, b, such: as_(a, "h").hint("merge").join(as_(b, "t"), "g").where(such).select(F.col("hx").alias("h"), F.col("tx").alias("t"), lacks("h", "t").alias("lacks"))
+    lacks = lambda a, b: sum(F.bit_count(F.col(f"{a}{m}").bitwiseAND(F.bitwise_not(f"{b}{m}"))) for m in ("m0", "m1"))
+    s = F.col("hn") + F.col("tn")
+    alike = (59 * F.least("hn", "tn") >= 41 * F.greatest("hn", "tn")) & (100 * lacks("h", "t") <= 100 * F.col("hn") - 23 * s) & (100 * lacks("t", "h") <= 100 * F.col("tn") - 23 * s)
+    pairs = meet(hp.where(few), tp.where(few), alike).unionByName(meet(hp.where("p = 1"), tg, F.col("tx").contains(F.col("hx")))).unionByName(meet(hg, tp.where("p = 1"), F.col("hx").contains(F.col("tx")))).distinct()
+    near = S.near_best(pairs, "h", "t", "lacks", 0.82)
     best = near.groupBy("h").agg(F.max(F.struct("ratio", "t")).alias("b"))
     return equal.unionByName(best.select("h", F.col("b.t").alias("t"), F.col("b.ratio").alias("ratio")))
 
